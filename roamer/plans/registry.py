@@ -32,4 +32,5 @@ def load_all() -> None:
     """Import every plan module so their keys register."""
     from roamer.plans import (  # noqa: F401
         catalog_plans,
+        matching_plans,
     )
