@@ -33,4 +33,5 @@ def load_all() -> None:
     from roamer.plans import (  # noqa: F401
         catalog_plans,
         matching_plans,
+        retrieval_plans,
     )
