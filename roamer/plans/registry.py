@@ -34,4 +34,5 @@ def load_all() -> None:
         catalog_plans,
         matching_plans,
         retrieval_plans,
+        userstate_plans,
     )
