@@ -19,9 +19,9 @@ def _rows(df):
 
     def norm(v):
         if v is None or (isinstance(v, float) and math.isnan(v)):
-            return None
+            return "<null>"
         if isinstance(v, float):
-            return round(v, 6)
+            return repr(round(v, 6) + 0.0)
         return str(v)
 
     return sorted(tuple(norm(r[c]) for c in cols) for r in df.to_dict("records"))
