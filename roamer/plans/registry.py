@@ -35,4 +35,6 @@ def load_all() -> None:
         matching_plans,
         retrieval_plans,
         userstate_plans,
+        misc_plans,
+        currency_plans,
     )
