@@ -36,3 +36,29 @@ WHERE rank <= 20""")
 def q_history_recent(spark, sf):
     r = us.recent(tb.history(spark, sf))
     return r.select("user_id", "id", "rank", _ts("created_at").alias("created_at"), "amount")
+
+
+@register("is_favorite", f"""
+SELECT DISTINCT e.user_id, e.item_id,
+       EXISTS (SELECT 1 FROM account_events a
+               WHERE a.action = 'add_favorite' AND a.user_id = e.user_id AND a.item_id = e.item_id
+                 AND NOT EXISTS (SELECT 1 FROM account_events r
+                                 WHERE r.action = 'remove_favorite' AND r.user_id = a.user_id AND r.item_id = a.item_id
+                                   AND (r.ts > a.ts OR (r.ts = a.ts AND r.event_id > a.event_id)))) AS is_favorite
+FROM account_events e""")
+def q_is_favorite(spark, sf):
+    """Existence flag for every (user, item) pair seen in the log."""
+    ev = tb.account_events(spark, sf)
+    pairs = ev.select("user_id", "item_id").distinct()
+    fav = us.favorites_current(ev).select("user_id", "item_id", F.lit(True).alias("f"))
+    return pairs.join(fav, ["user_id", "item_id"], "left").select(
+        "user_id", "item_id", F.coalesce("f", F.lit(False)).alias("is_favorite"))
+
+
+@register("cascade_delete", """
+SELECT id, user_id FROM history h WHERE h.user_id % 17 <> 0""")
+def q_cascade_delete(spark, sf):
+    """U16: removing users (here: user_id % 17 = 0) removes their history rows."""
+    hist = tb.history(spark, sf)
+    deleted = hist.select("user_id").where(F.col("user_id") % 17 == 0).distinct()
+    return hist.join(deleted, "user_id", "left_anti").select("id", "user_id")
