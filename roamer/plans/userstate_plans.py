@@ -62,3 +62,12 @@ def q_cascade_delete(spark, sf):
     hist = tb.history(spark, sf)
     deleted = hist.select("user_id").where(F.col("user_id") % 17 == 0).distinct()
     return hist.join(deleted, "user_id", "left_anti").select("id", "user_id")
+
+
+@register("orphan_check", """
+SELECT h.id, h.user_id FROM history h
+WHERE NOT EXISTS (SELECT 1 FROM account_events a WHERE a.action = 'register' AND a.user_id = h.user_id)""")
+def q_orphan_check(spark, sf):
+    """Child rows (history) whose user has no registration in the log."""
+    users = tb.account_events(spark, sf).where(F.col("action") == "register").select("user_id").distinct()
+    return tb.history(spark, sf).join(users, "user_id", "left_anti").select("id", "user_id")
