@@ -62,7 +62,7 @@ def write_whole(uri: str, chunks: list) -> None:
     store, path = open_store(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
     tmp = f"{path}.{uuid.uuid4().hex}.tmp"
-    with store.open_output_stream(tmp) as out:
+    with store.open_output_stream(tmp, compression=None) as out:
         for c in chunks:
             out.write(c)
     store.move(tmp, path)

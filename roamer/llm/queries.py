@@ -1,6 +1,6 @@
 """All queries and DuckDB SQL of this subpackage; importing the modules registers them."""
 
-from roamer.llm import jaccard, packing, quality, repeats, sharding, tokenfiles  # noqa: F401
+from roamer.llm import jaccard, packing, quality, repeats, sharding, tokenfiles, warc  # noqa: F401
 from roamer.llm.common import ORACLES, QUERIES
 
 
