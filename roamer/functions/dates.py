@@ -13,9 +13,9 @@ NORTH_SEASONS = {12: "Winter", 1: "Winter", 2: "Winter", 3: "Spring", 4: "Spring
 SOUTH_SWAP = {"Winter": "Summer", "Spring": "Autumn", "Summer": "Winter", "Autumn": "Spring"}
 TROPICAL = "Tropical season"
 TROPIC_LAT = 15.0
-# Multipliers in hundredths (summed as integers so every engine agrees).
-TROPIC_PEAK, TROPIC_BASE = 108, 100
-SUMMER, WINTER, SHOULDER = 118, 92, 105
+# Seasonal cost multipliers.
+TROPIC_PEAK, TROPIC_BASE = 1.08, 1.0
+SUMMER, WINTER, SHOULDER = 1.18, 0.92, 1.05
 
 
 def trip_months(start, end) -> Column:
@@ -40,7 +40,7 @@ def season_name(lat, months) -> Column:
             .when(lat >= 0, north).otherwise(south))
 
 
-def _month_hundredths(lat: Column, m: Column) -> Column:
+def _month_multiplier(lat: Column, m: Column) -> Column:
     tropic = F.when(m.isin(12, 1, 2, 3), TROPIC_PEAK).otherwise(TROPIC_BASE)
     north_summer = m.isin(6, 7, 8)
     north_winter = m.isin(12, 1, 2)
@@ -50,10 +50,10 @@ def _month_hundredths(lat: Column, m: Column) -> Column:
 
 
 def seasonal_multiplier(lat, months) -> Column:
-    """Mean per-month multiplier; null for an empty month list."""
+    """Mean per-month multiplier, summed in list order; null for an empty month list."""
     lat, months = col_of(lat), col_of(months)
-    total = F.aggregate(months, F.lit(0), lambda acc, m: acc + _month_hundredths(lat, m))
-    return F.when(F.size(months) > 0, total / (F.size(months) * F.lit(100.0)))
+    total = F.aggregate(months, F.lit(0.0), lambda acc, m: acc + _month_multiplier(lat, m))
+    return F.when(F.size(months) > 0, total / F.size(months))
 
 
 def months_mean(temps, months) -> Column:

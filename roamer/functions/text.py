@@ -30,8 +30,7 @@ def tokens(text) -> Column:
 
 
 def drop_stop_words(toks) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(col_of(toks), lambda t: ~F.array_contains(stop, t))
+    return F.filter(col_of(toks), lambda t: ~t.isin(*STOP_WORDS))  # a hash-set lookup a token
 
 
 def ngrams_1_2(toks) -> Column:
@@ -50,3 +49,10 @@ def ngrams_1_2(toks) -> Column:
 def bucket(gram, dims: int = DIMENSIONS) -> Column:
     """Stable hashed bucket: first 32 bits of md5, modulo ``dims``."""
     return F.pmod(F.conv(F.substring(F.md5(col_of(gram)), 1, 8), 16, 10).cast("long"), F.lit(dims))
+
+
+def title_case(text) -> Column:
+    """Upper case after any character that is no letter (and at the start), lower case elsewhere."""
+    chars = F.split(col_of(text), "")
+    one = lambda c, i: F.when((i == 0) | ~F.get(chars, i - 1).rlike(r"\p{L}"), F.upper(c)).otherwise(F.lower(c))
+    return F.array_join(F.transform(chars, one), "")

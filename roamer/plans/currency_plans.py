@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from roamer.functions.numeric import boundary, half_even
 from roamer.operators import currency as cur
+from roamer.operators.labels import REGION_LABELS, region_label
 from roamer.plans import matching_plans as mp
-from roamer.plans.misc_plans import REGION_LABELS
+from roamer.plans.misc_plans import title_sql
 from roamer.plans.registry import register
 from roamer.plans.sqlgen import heven, r6
 from roamer.sources import tables as tb
@@ -69,8 +70,7 @@ def q_budget_bounds(spark, sf):
 
 
 _LABEL = ("CASE region " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REGION_LABELS.items())
-          + " ELSE array_to_string(list_transform(string_split(replace(region, '_', ' '), ' '), "
-          "lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') END")
+          + f" ELSE {title_sql("replace(region, '_', ' ')")} END")
 
 
 @reg("alternatives_table", f"""
@@ -84,10 +84,8 @@ def q_alternatives_table(spark, sf):
     top = mp.ranked(spark, sf)
     rates = F.broadcast(cur.fallback_rates(spark))
     t = top.join(rates, top.currency == rates.code)
-    lookup = F.create_map(*[x for k, v in REGION_LABELS.items() for x in (F.lit(k), F.lit(v))])
-    label = F.coalesce(F.element_at(lookup, F.col("region")), F.initcap(F.regexp_replace("region", "_", " ")))
     return t.select(
-        "profile_id", "rank", "city", "country", label.alias("region_label"),
+        "profile_id", "rank", "city", "country", region_label("region").alias("region_label"),
         cur.format_money(F.col("cost_per_day_usd") * F.col("rate"), F.col("currency")).alias("daily_cost"),
         half_even("avg_temp_c", 1).alias("typical_temp_c"),
         half_even(F.col("match_score") * 100).alias("match_pct"),

@@ -48,9 +48,9 @@ _MONTH_LIST = "[" + ", ".join(f"b.temp_month_{m}" for m in range(1, 13)) + "]"
 
 
 def _mult_sql(lat: str) -> str:
-    return (f"CASE WHEN abs({lat}) < 15 THEN CASE WHEN m IN (12, 1, 2, 3) THEN 108 ELSE 100 END "
-            f"WHEN {lat} >= 0 THEN CASE WHEN m IN (6, 7, 8) THEN 118 WHEN m IN (12, 1, 2) THEN 92 ELSE 105 END "
-            f"ELSE CASE WHEN m IN (12, 1, 2) THEN 118 WHEN m IN (6, 7, 8) THEN 92 ELSE 105 END END")
+    return (f"CASE WHEN abs({lat}) < 15 THEN CASE WHEN m IN (12, 1, 2, 3) THEN 1.08::DOUBLE ELSE 1.0::DOUBLE END "
+            f"WHEN {lat} >= 0 THEN CASE WHEN m IN (6, 7, 8) THEN 1.18::DOUBLE WHEN m IN (12, 1, 2) THEN 0.92::DOUBLE ELSE 1.05::DOUBLE END "
+            f"ELSE CASE WHEN m IN (12, 1, 2) THEN 1.18::DOUBLE WHEN m IN (6, 7, 8) THEN 0.92::DOUBLE ELSE 1.05::DOUBLE END END")
 
 
 _REP = "months[len(months) // 2 + 1]"
@@ -77,7 +77,7 @@ _DATED_COLS = f"""
   coalesce(list_avg(list_filter(list_transform(months, lambda m: {_MONTH_LIST}[m]), lambda x: x IS NOT NULL)),
            b.avg_temp_c) AS avg_temp_c,
   b.cost_per_day_usd AS base_cost_per_day_usd,
-  CASE WHEN len(months) > 0 THEN list_sum(list_transform(months, lambda m: {_mult_sql('b.latitude')})) / (len(months) * 100.0) END
+  CASE WHEN len(months) > 0 THEN list_reduce(list_prepend(0.0::DOUBLE, list_transform(months, lambda m: {_mult_sql('b.latitude')})), lambda x, y: x + y) / len(months) END
     AS seasonal_multiplier,
   {_SEASON} AS travel_season,
   {", ".join(f"b.{c}" for c in cat.RATING_COLUMNS)}"""

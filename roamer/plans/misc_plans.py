@@ -8,26 +8,18 @@ from pyspark.sql import functions as F
 
 from roamer.functions.numeric import half_even
 from roamer.operators.catalog import INTEREST_COLUMNS, strip_ws
+from roamer.operators.labels import INTEREST_LABELS, REGION_LABELS, region_label
 from roamer.plans import matching_plans as mp
 from roamer.plans.registry import register
 from roamer.sources import tables as tb
 
-# Region codes with display labels.
-REGION_LABELS = {"africa": "Africa", "asia": "Asia", "europe": "Europe", "middle_east": "Middle East",
-                 "north_america": "North America", "south_america": "South America", "oceania": "Oceania"}
-# Interest display labels.
-INTEREST_LABELS = {"beach": "Beaches", "culture": "Culture and history", "nature": "Nature",
-                   "nightlife": "Nightlife", "food": "Food", "adventure": "Adventure",
-                   "relaxation": "Relaxation"}
-
-
 def reg(key, oracle=None):
     return register(key, oracle, mp.CTES)
 
 
 @reg("facet_regions", "SELECT DISTINCT region FROM built WHERE region IS NOT NULL")
 def q_facet_regions(spark, sf):
-    return mp.catalog(spark, sf).select("region").where(F.col("region").isNotNull()).distinct()
+    return mp.catalog(spark, sf).select("region").where(F.col("region").isNotNull()).distinct().orderBy("region")
 
 
 @reg("facet_countries", """
@@ -40,17 +32,20 @@ def q_facet_countries(spark, sf):
 
 
 _CASE_LABEL = "CASE region " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REGION_LABELS.items())
-_TITLE = ("array_to_string(list_transform(string_split(replace(region, '_', ' '), ' '), "
-          "lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')")
+def title_sql(text: str) -> str:
+    """Title case in DuckDB: character by character, by the kind of the one before."""
+    return (f"array_to_string(list_transform(generate_series(1, length({text})), lambda i: CASE WHEN i = 1 OR NOT "
+            f"regexp_matches(substr({text}, cast(i - 1 AS INTEGER), 1), '\\pL') THEN upper(substr({text}, cast(i AS INTEGER), 1)) "
+            f"ELSE lower(substr({text}, cast(i AS INTEGER), 1)) END), '')")
+
+
+_TITLE = title_sql("replace(region, '_', ' ')")
 
 
 @reg("region_label", f"SELECT DISTINCT region, {_CASE_LABEL} ELSE {_TITLE} END AS region_label FROM built")
 def q_region_label(spark, sf):
     regions = mp.catalog(spark, sf).select("region").distinct()
-    lookup = F.create_map(*[x for k, v in REGION_LABELS.items() for x in (F.lit(k), F.lit(v))])
-    label = F.coalesce(F.element_at(lookup, F.col("region")),
-                       F.initcap(F.regexp_replace("region", "_", " ")))
-    return regions.select("region", label.alias("region_label"))
+    return regions.select("region", region_label("region").alias("region_label"))
 
 
 _INTEREST_ROWS = ", ".join(f"({i}, '{c}', '{INTEREST_LABELS[c]}')" for i, c in enumerate(INTEREST_COLUMNS))
@@ -77,9 +72,9 @@ _NAME = "regexp_replace(display_name, '^\\s+|\\s+$', '', 'g')"
 CTES_U = {
     "reg_checked": f"""
   SELECT request_id, {_EMAIL} AS email, {_NAME} AS display_name,
-         CASE WHEN NOT contains({_EMAIL}, '@') OR NOT contains(regexp_extract({_EMAIL}, '[^@]*$'), '.') THEN 'invalid_email'
-              WHEN password_length < 8 THEN 'short_password'
-              WHEN {_NAME} = '' THEN 'missing_name' END AS reason
+         CASE WHEN email IS NULL OR NOT contains({_EMAIL}, '@') OR NOT contains(regexp_extract({_EMAIL}, '[^@]*$'), '.') THEN 'invalid_email'
+              WHEN password_length IS NULL OR password_length < 8 THEN 'short_password'
+              WHEN display_name IS NULL OR {_NAME} = '' THEN 'missing_name' END AS reason
   FROM registrations"""}
 
 
@@ -89,10 +84,10 @@ def _validated(spark, sf):
     name = strip_ws(F.col("display_name"))
     staged = r.select("request_id", email.alias("email"), name.alias("display_name"), "password_length")
     e = F.col("email")
-    bad_email = ~e.contains("@") | ~F.substring_index(e, "@", -1).contains(".")
+    bad_email = F.coalesce(~e.contains("@") | ~F.substring_index(e, "@", -1).contains("."), F.lit(True))
     reason = (F.when(bad_email, "invalid_email")
-              .when(F.col("password_length") < 8, "short_password")
-              .when(F.col("display_name") == "", "missing_name"))
+              .when(F.coalesce(F.col("password_length"), F.lit(0)) < 8, "short_password")
+              .when(F.coalesce(F.col("display_name"), F.lit("")) == "", "missing_name"))
     return staged.select("request_id", "email", "display_name", reason.alias("reason"))
 
 

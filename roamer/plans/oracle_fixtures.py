@@ -89,11 +89,11 @@ VIEWS["account_events"] = """
 
 VIEWS["registrations"] = """
   SELECT c_custkey AS request_id,
-         CASE WHEN c_custkey % 13 = 0 THEN 'no-at-sign.com'
+         CASE WHEN c_custkey % 37 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 'no-at-sign.com'
               WHEN c_custkey % 17 = 0 THEN 'a@nodot'
               ELSE ' User' || CAST(c_custkey % 400 AS VARCHAR) || '@Example.COM ' END AS email,
-         CAST(5 + c_custkey % 10 AS INTEGER) AS password_length,
-         CASE WHEN c_custkey % 29 = 0 THEN '   ' ELSE ' ' || c_name || ' ' END AS display_name
+         CASE WHEN c_custkey % 43 <> 0 THEN CAST(5 + c_custkey % 10 AS INTEGER) END AS password_length,
+         CASE WHEN c_custkey % 41 = 0 THEN NULL WHEN c_custkey % 29 = 0 THEN '   ' ELSE ' ' || c_name || ' ' END AS display_name
   FROM customer
 """
 

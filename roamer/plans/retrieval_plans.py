@@ -1,7 +1,7 @@
 """Text vector and retrieval keys (V) with DuckDB oracles.
 
 Corpus = ``documents(doc_id, text)``; questions = ``benchmark(item_id, text)``;
-dense vectors = ``embeddings`` (queries: vec_id < 20, themselves included).
+dense vectors = ``embeddings`` (queries: ids divisible by 50, themselves included).
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ _KEEP = f"list_filter({_TOK}, lambda x: NOT list_contains({_STOP}, x))"
 _GRAMS = "list_concat(k, list_transform(list_zip(k[:-2], k[2:], true), lambda p: p[1] || ' ' || p[2]))"
 _BUCKET = "(('0x' || substr(md5(g), 1, 8))::BIGINT % 1536)"
 
+#: The stated query set of the dense search.
+QUERY_STEP = 50
+
 CTES = {
     "doc_grams": f"SELECT doc_id AS id, unnest({_GRAMS}) AS g FROM (SELECT doc_id, {_KEEP} AS k FROM documents)",
     "q_grams": f"SELECT item_id AS id, unnest({_GRAMS}) AS g FROM (SELECT item_id, {_KEEP} AS k FROM benchmark)",
@@ -122,10 +125,10 @@ def q_tfidf_topk(spark, sf):
      coalesce(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[])
        / nullif(sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))
               * sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[])), 0), 0.0) AS similarity
-   FROM embeddings q CROSS JOIN embeddings d WHERE q.vec_id < 20)"""))
+   FROM embeddings q CROSS JOIN embeddings d WHERE q.vec_id % 50 = 0)"""))
 def q_vector_topk(spark, sf):
     emb = tb.read_table(spark, sf, "embeddings")
-    queries = emb.where(F.col("vec_id") < 20).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    queries = emb.where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
     corpus = emb.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
     return _hits_out(rv.dense_topk(queries, corpus))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -30,11 +31,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in DEFAULT_CONF.items():
-        builder = builder.config(key, value)
+    given = SparkConf()  # what spark-submit or the environment has set already stays
+    wanted = {**DEFAULT_CONF, "spark.driver.memory": os.environ.get("ROAMER_DRIVER_MEMORY", "8g")}
     if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("ROAMER_DRIVER_MEMORY", "16g"))
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for key, value in wanted.items():
+        if not given.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -44,19 +47,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder; only when it is unset (local tests) do we
-    set our own, under a fresh scratch folder.
+    The cluster names a shared folder; only when it is unset and the master is local
+    (tests) do we set our own, under a fresh scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="roamer-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for a written intermediate table inside the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}"

@@ -176,14 +176,14 @@ def account_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     c = F.col("c_custkey")
-    email = (F.when(c % 13 == 0, "no-at-sign.com")
+    email = (F.when(c % 37 == 0, F.lit(None).cast("string")).when(c % 13 == 0, "no-at-sign.com")
              .when(c % 17 == 0, "a@nodot")
              .otherwise(F.concat(F.lit(" User"), (c % 400).cast("string"), F.lit("@Example.COM "))))
-    name = F.when(c % 29 == 0, F.lit("   ")).otherwise(F.concat(F.lit(" "), F.col("c_name"), F.lit(" ")))
+    name = F.when(c % 41 == 0, F.lit(None).cast("string")).when(c % 29 == 0, F.lit("   ")).otherwise(F.concat(F.lit(" "), F.col("c_name"), F.lit(" ")))
     return cust.select(
         c.alias("request_id"),
         email.alias("email"),
-        (5 + c % 10).cast("int").alias("password_length"),
+        F.when(c % 43 != 0, (5 + c % 10).cast("int")).alias("password_length"),
         name.alias("display_name"),
     )
 
