@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roamer.session import ensure_checkpoint_dir
@@ -99,3 +99,34 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mo
     """Only the columns an operator works on, under fixed names: other columns can't clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"), *more)
+
+
+#: Bits of the filter on ids: 8 MB at most, whatever the input.
+FILTER_BITS = 1 << 26
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text): the mark tells texts with one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
+
+
+def _maybe(docs: DataFrame, wanted: DataFrame, id_col: str) -> tuple[DataFrame, Column]:
+    spot = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
+    asked = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
+    bits = wanted.select(asked.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    bit = F.expr("coalesce(shiftright(cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) & 1, 0)")
+    marked = docs.withColumn("__p", spot).withColumn("__bucket", F.bitmap_bucket_number("__p")).withColumn("__at", F.bitmap_bit_position("__p"))
+    return marked.join(F.broadcast(bits), "__bucket", "left"), bit
+
+
+def near_ids(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Documents whose id may be among ``wanted.doc_id``: a bit set of fixed size keeps most other
+    texts from being shuffled. What it lets through wrongly, the join that follows drops."""
+    marked, bit = _maybe(docs, wanted, id_col)
+    return marked.filter(bit == 1).select(*docs.columns)
+
+
+def split_ids(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(documents whose id may be wanted, all others); together they are ``docs``."""
+    marked, bit = _maybe(docs, wanted, id_col)
+    return marked.filter(bit == 1).select(*docs.columns), marked.filter(bit == 0).select(*docs.columns)

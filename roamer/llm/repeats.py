@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamer.llm.common import cut, register, shared_folder, small_batches, table, utf8_views
+from roamer.llm.common import cut, marked, near_ids, register, shared_folder, small_batches, split_ids, table, utf8_views
 from roamer.llm.shingles import prefix_hash, span_hash
 
 LENGTH = 400
@@ -42,8 +42,6 @@ GRAM = 96
 MAX_GROUP = 1024
 BUCKET_SPANS = 4000
 SEGMENT = 8 << 20
-#: Bits of the filter on documents: 8 MB at most, whatever the input.
-FILTER_BITS = 1 << 26
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -185,8 +183,9 @@ def maximal_repeats(spans: list[tuple[bytes, int]], length: int) -> Iterator[tup
                 yield ext, depth, found
 
 
-def _scan(t: pa.Table, length: int) -> pa.Table:
-    """Maximal repeats of all anchors of a bucket: a row an occurrence."""
+def _scan(t: pa.Table, length: int, every: bool) -> pa.Table:
+    """Maximal repeats of all anchors of a bucket: a row an occurrence if ``every``, else a row a span:
+    all its repeats hold the anchor, so they cover one run, from the first start to the last end."""
     groups: dict[int, list[int]] = {}
     keys, digests = t.column("key").to_pylist(), t.column("digest").to_pylist()
     raw, anchors = t.column("raw").to_pylist(), t.column("anchor").to_pylist()
@@ -194,8 +193,15 @@ def _scan(t: pa.Table, length: int) -> pa.Table:
         groups.setdefault(k, []).append(i)
     out = []
     for k, rows in groups.items():
+        reach: dict[int, tuple[int, int]] = {}
         for n, (a, b, found) in enumerate(maximal_repeats([(raw[i], anchors[i]) for i in rows], length)):
-            out += [(k, digests[rows[m]], n, anchors[rows[m]] - a, anchors[rows[m]] + b) for m in found]
+            if every:
+                out += [(k, digests[rows[m]], n, anchors[rows[m]] - a, anchors[rows[m]] + b) for m in found]
+                continue
+            for m in found:
+                x, y = reach.get(m, (0, 0))
+                reach[m] = max(x, a), max(y, b)
+        out += [(k, digests[rows[m]], -1, anchors[rows[m]] - a, anchors[rows[m]] + b) for m, (a, b) in reach.items()]
     return pa.table({c: pa.array(v, kind) for (c, kind), v in zip(_FOUND, zip(*out) if out else [[]] * 5)})
 
 
@@ -243,25 +249,10 @@ def _crowded(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, _FOUND_DDL)
 
 
-def _near(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Documents whose id may be wanted: a bit set of fixed size keeps most other texts from being
-    shuffled. What it lets through wrongly, the join that follows drops."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = wanted.select(spot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    bit = F.expr("shiftright(cast(conv(hex(substring(bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) & 1")
-    return (docs.withColumn("__p", spot).withColumn("bucket", F.bitmap_bucket_number("__p")).withColumn("__at", F.bitmap_bit_position("__p"))
-            .join(F.broadcast(bits), "bucket").filter(bit == 1).select(*docs.columns))
-
-
 def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, text): the mark tells texts with one id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_group: int = MAX_GROUP,
                    groups: bool = False) -> DataFrame:
     """(doc_id, mark, first, stop) of what repeats, a row a span; overlapping, not merged.
@@ -274,17 +265,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_
     _spans(docs, length, gram).write.parquet(path)
     spans = spark.read.schema(_SPAN_DDL).parquet(path)
     keys = spans.groupBy("key").agg(F.count("*").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).filter("n > 1")
-    shared = cut(spans.join(keys.select("key", (F.col("d0") != F.col("d1")).alias("mixed")), "key"))
+    keys = cut(keys.select("key", (F.col("d0") != F.col("d1")).alias("mixed")))
+    shared = cut(spans.join(keys, "key"))
     kinds = shared.groupBy("key", "digest", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "start", "size", "anchor")).alias("one"))
+    kinds = cut(kinds)
     whole = kinds.filter("n > 1").select("key", "digest")
 
     # The bytes of one span of each digest, where an anchor has several.
     mixed = kinds.filter("mixed").select("key", "digest", "one.*")
-    load = mixed.groupBy("key").agg(F.count("*").alias("m"))
+    # Small sides are materialised before a join, so that Spark can split the other side's hot keys.
+    load = cut(mixed.groupBy("key").agg(F.count("*").alias("m")))
     mixed = mixed.join(load, "key").withColumn("crowded", F.col("m") > max_group)
     wanted = mixed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("key", "digest", "start", "size", "anchor", "crowded")).alias("spans"))
     wanted = cut(wanted)
-    near = _near(docs, wanted)
+    near = near_ids(docs, wanted)
     fetched = (near.join(wanted, _same(near, wanted)).select("text", "spans")
                .select(F.col("text").cast("binary").alias("t"), F.explode("spans").alias("s"))
                .select("s.key", "s.digest", "s.anchor", "s.crowded", F.expr("substring(t, cast(s.start as int) + 1, s.size)").alias("raw")))
@@ -293,11 +287,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_
     n = fetched.agg(F.count(F.when(~F.col("crowded"), 1)).alias("few"), F.count(F.when(F.col("crowded"), 1)).alias("many")).first()
     few = max(1, -(-n["few"] // BUCKET_SPANS))
     found = (fetched.filter("not crowded").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(few)))
-             .groupBy("bucket").applyInArrow(lambda t: _scan(t, length), _FOUND_DDL))
+             .groupBy("bucket").applyInArrow(lambda t: _scan(t, length, groups), _FOUND_DDL))
     if n["many"]:
         found = found.unionByName(_crowded(fetched.filter("crowded"), length, max(8, n["many"] // BUCKET_SPANS)))
     if not groups:
-        found = found.groupBy("key", "digest").agg(F.min("first").alias("first"), F.max("stop").alias("stop"))
+        # Buckets of crowded anchors may each know a part of a span's reach.
+        found = cut(found.groupBy("key", "digest").agg(F.min("first").alias("first"), F.max("stop").alias("stop")))
     more = ["key", "repeat"] if groups else []
     out = ["doc_id", "mark", "first", "stop", *more]
     a = shared.join(whole, ["key", "digest"]).select("doc_id", "mark", F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("stop"), "key", F.lit(None).cast("int").alias("repeat"))
@@ -309,7 +304,7 @@ def _cut_texts(docs: DataFrame, length: int, gram: int, max_group: int) -> DataF
     """(doc_id, mark, n_removed, n_spans, kept_sha256, kept) of every distinct document that repeats."""
     runs = repeated_spans(docs, length, gram, max_group).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "stop")).alias("runs"))
     runs = cut(runs)
-    near = _near(docs, runs)
+    near = near_ids(docs, runs)
     rows = near.join(runs, _same(near, runs)).select(near["doc_id"], near["mark"], "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,11 +347,15 @@ def repeat_digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_g
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_group: int = MAX_GROUP) -> DataFrame:
     """The documents with all their columns, their text without the repeated bytes; n_chars, where
     it is a column, is counted anew."""
-    cuts = _cut_texts(marked(docs), length, gram, max_group).select(F.col("doc_id").alias("__d"), F.col("mark").alias("__m"), F.col("kept").alias("__kept"))
-    joined = docs.join(cuts, docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__m")), "left")
-    text = F.coalesce(F.col("__kept"), F.col("text"))
-    out = {"text": text, "n_chars": F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {"text": text}
-    return joined.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+    cuts = _cut_texts(marked(docs), length, gram, max_group).select("doc_id", F.col("mark").alias("__m"), F.col("kept").alias("__kept"))
+    cuts = cut(cuts)
+    near, far = split_ids(docs, cuts)
+    cuts = cuts.withColumnRenamed("doc_id", "__d")
+    joined = near.join(cuts, near["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(near["text"]) == F.col("__m")), "left")
+    out = {"text": F.coalesce("__kept", "text")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept").cast(docs.schema["n_chars"].dataType))
+    return far.unionByName(joined.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns]))
 
 
 @register("op5_suffix_array_dedup")

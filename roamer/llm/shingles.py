@@ -29,9 +29,13 @@ _LOWER[65:91] = _CODES[97:123]
 _TURN = mix64(np.arange(1001, 1001 + WORDS_A_SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
+#: Powers are kept for so many places; longer texts go block by block.
+_BLOCK_BITS = 20
+
+
 @lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    n = 1 << _BLOCK_BITS
     up, down = np.full(n, _BASE), np.full(n, _INVERSE)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
@@ -39,16 +43,25 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_hash(raw: np.ndarray, codes: np.ndarray = _CODES) -> np.ndarray:
     """Prefix sums from which ``span_hash`` reads the hash of any span of bytes."""
-    up, _ = _powers(max(20, int(len(raw)).bit_length()))
+    up, _ = _powers()
+    block = len(up)
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(codes[raw] * up[:len(raw)], out=out[1:])
+    for a in range(0, len(raw), block):
+        part = np.cumsum(codes[raw[a:a + block]] * up[:len(raw) - a])
+        if a:
+            part *= np.uint64(pow(int(_BASE), a, 1 << 64))
+        out[a + 1:a + 1 + len(part)] = part + out[a]
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans, equal for equal bytes wherever they lie."""
-    _, down = _powers(max(20, int(len(prefix) - 1).bit_length()))
-    return mix64((prefix[stop] - prefix[start]) * down[start] + (stop - start).astype(np.uint64))
+    _, down = _powers()
+    back = down[start & (len(down) - 1)]
+    if len(prefix) > len(down):
+        steps = np.array([pow(int(_INVERSE), a, 1 << 64) for a in range(0, len(prefix), len(down))], np.uint64)
+        back = back * steps[start >> _BLOCK_BITS]
+    return mix64((prefix[stop] - prefix[start]) * back + (stop - start).astype(np.uint64))
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -87,3 +100,21 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def set_key(tokens: np.ndarray) -> bytes:
     """128-bit key of a set of hashes; empty sets have none."""
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else b""
+
+
+def parity_sketch(tokens: np.ndarray) -> bytes:
+    """Bits, four a token or more, of which each says whether an odd number of tokens fall on it."""
+    bits = 1 << max(6, (4 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """A lower bound of the size of two sets' symmetric difference: every differing bit has a token
+    that only one of them has. The finer sketch is folded to the coarser one's bits."""
+    x, y = (np.frombuffer(s, "<u8") for s in (a, b))
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
