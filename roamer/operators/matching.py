@@ -1,10 +1,13 @@
 """Trip contexts, scoped candidates, scoring (weighted / cosine / k-NN) and top-n.
 
-A profile's dated, filtered candidate set depends only on its trip months and
-scope, so the catalogue is dated and scaled once per *context*; profiles then
-join their context's candidates (the only profiles x candidates product) and
-are ranked with ``row_number() <= n``, which Spark pre-limits per partition
-(``WindowGroupLimit``) before the shuffle.
+The catalogue is dated once per month range; a profile's candidates follow from
+its range and scope (a *context*). Feature ranges are joined to the profiles, so
+profile-side scaling is done once a profile. Contexts are split by the number of
+pairs they make: profiles are dealt over a context's salts, its items repeated
+for each, and both sides dealt to a stated number of partitions, so that the
+context of all wildcards fills every core. Each method is a branch of its own,
+small enough for the JVM to compile. ``row_number() <= n`` is pre-limited per
+partition (``WindowGroupLimit``) before the last shuffle.
 """
 
 from __future__ import annotations
@@ -63,9 +66,27 @@ def scope_keys(catalog: DataFrame) -> DataFrame:
         "*", F.col("_s.r").alias("scope_region"), F.col("_s.c").alias("scope_country")).drop("_s")
 
 
-def scoped_candidates(contexts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Q1-Q3: context x item pairs its wildcards allow, as an equi-join on scope keys."""
-    return contexts.join(scope_keys(catalog), ["scope_region", "scope_country"])
+def month_ranges(profiles: DataFrame) -> Column:
+    """All distinct (m_start, m_end, months) as one array: bounded by the calendar, not by the data."""
+    ranges = with_trip(profiles).select("m_start", "m_end").distinct()
+    listed = ranges.select(F.struct("m_start", "m_end", D.trip_months("m_start", "m_end").alias("months")).alias("r"))
+    return listed.agg(F.collect_list("r")).scalar()
+
+
+def dated_items(profiles: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Every item once per month range, dated."""
+    pairs = catalog.select("*", F.explode(month_ranges(profiles)).alias("_r"))
+    return date_candidates(pairs.select(*catalog.columns, "_r.m_start", "_r.m_end", "_r.months"))
+
+
+def scoped_candidates(contexts: DataFrame, items: DataFrame) -> DataFrame:
+    """Q1-Q3: the dated items each context's wildcards allow, as an equi-join on scope keys."""
+    return contexts.select(*CTX_KEYS).join(scope_keys(items), CTX_KEYS)
+
+
+def dated_candidates(profiles: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Dated context x item rows."""
+    return scoped_candidates(trip_contexts(profiles), dated_items(profiles, catalog))
 
 
 def date_candidates(pairs: DataFrame) -> DataFrame:
@@ -104,100 +125,100 @@ def weighted_score_from_parts() -> Column:
             + W_POPULARITY * F.col("popularity_fit"))
 
 
-def _scaled(x: Column, lo: Column, hi: Column, zero_range_divisor_one: bool) -> Column:
-    rng = hi - lo
-    if zero_range_divisor_one:
-        return (x - lo) / F.when(rng == 0, F.lit(1.0)).otherwise(rng)
-    return F.when(rng == 0, F.lit(0.0)).otherwise((x - lo) / rng)
+#: Pairs that one salt of a context makes at most, about.
+PAIRS_PER_SALT = 200_000
+ITEM_COLUMNS = ["city", "country", "region", "latitude", "longitude", "annual_avg_temp_c",
+                "base_cost_per_day_usd", "seasonal_multiplier", "travel_season", *FEATURE_COLUMNS]
+_U = {c: f"u_{c}" for c in FEATURE_COLUMNS}
 
 
-PROFILE_COLUMNS = ["profile_id", "budget_per_day_usd", "preferred_temp_c", *INTEREST_COLUMNS,
-                   "safety", "popularity", "method", "currency", "start_date", "end_date"]
+def _pairs(profiles: DataFrame, items: DataFrame, salts: DataFrame) -> DataFrame:
+    """Profiles joined to their context's items, dealt by (context, salt)."""
+    spark = profiles.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    keys = [*CTX_KEYS, "salt"]
+    left = profiles.withColumn("salt", F.pmod(F.xxhash64("profile_id"), F.col("salts"))).drop("salts").repartition(n, *keys)
+    right = items.join(salts, CTX_KEYS).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    return left.join(right.repartition(n, *keys), keys).drop("salt")
 
 
-def dated_candidates(profiles: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Context x item rows, dated, with the context's feature ranges attached."""
-    pairs = scoped_candidates(trip_contexts(profiles), catalog)
-    dated = date_candidates(pairs)
-    return dated.join(context_ranges(dated), CTX_KEYS)
-
-
-def score_profiles(profiles: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Every profile against its candidates; ``match_score`` by the profile's method.
-
-    The five weighted fits (R2) stay as columns.
-    """
-    cands = dated_candidates(profiles, catalog)
-    prof = with_trip(profiles).select(*PROFILE_COLUMNS, *CTX_KEYS)
-    # Prefix profile columns that collide with item columns.
-    clash = [c for c in PROFILE_COLUMNS if c in cands.columns]
-    prof = prof.select(*[F.col(c).alias(f"p_{c}") if c in clash else F.col(c) for c in prof.columns])
-    joined = prof.join(cands, CTX_KEYS)
-    renamed = {c: f"p_{c}" for c in clash}
-
-    # Expressions read profile columns by their (possibly prefixed) names.
-    def pc(name):
-        return renamed.get(name, name)
-
-    budget = 1 - safe_div(F.abs(F.col("cost_per_day_usd") - F.col(pc("budget_per_day_usd"))),
-                          F.col(pc("budget_per_day_usd")))
-    temp = 1 - F.abs(F.col("avg_temp_c") - F.col(pc("preferred_temp_c"))) / 30.0
-    interest = _sum([1 - F.abs(F.col(c) - F.col(pc(c))) / 10.0 for c in INTEREST_COLUMNS]) / 7.0
-    safety = 1 - F.abs(F.col("safety") - F.col(pc("safety"))) / 10.0
-    popularity = 1 - F.abs(F.col("popularity") - F.col(pc("popularity"))) / 10.0
-    staged = joined.select(
-        "*",
-        clip(budget, 0, 1).alias("budget_fit"),
-        clip(temp, 0, 1).alias("temp_fit"),
-        clip(interest, 0, 1).alias("interest_fit"),
-        clip(safety, 0, 1).alias("safety_fit"),
-        clip(popularity, 0, 1).alias("popularity_fit"),
-    )
-    # Scaled vectors are staged as columns so the dot products stay small enough
-    # for whole-stage codegen.
-    scaled = staged.select("*", *_cosine_scaled(pc), *_knn_scaled(pc))
-    score = (F.when(F.col("method") == METHOD_COSINE, _cosine_from_scaled())
-             .when(F.col("method") == METHOD_KNN, _knn_from_scaled())
-             .otherwise(weighted_score_from_parts()))
-    helper = [c for c in scaled.columns if c.startswith("_a_") or c.startswith("_b_") or c.startswith("_d_")]
-    return scaled.select("*", score.alias("match_score")).drop(*helper)
-
-
-def _cosine_scaled(pc) -> list[Column]:
-    """Each feature min-max scaled over the candidates and the profile."""
-    out = []
-    for c, p in PROFILE_FEATURE.items():
-        u = F.col(pc(p)).cast("double")
-        lo = F.least(F.col(f"min_{c}"), u)
-        hi = F.greatest(F.col(f"max_{c}"), u)
-        out.append(_scaled(F.col(c), lo, hi, False).alias(f"_a_{c}"))
-        out.append(_scaled(u, lo, hi, False).alias(f"_b_{c}"))
-    return out
-
-
-def _cosine_from_scaled() -> Column:
+def _weighted_fits() -> list[Column]:
+    """R2: the five fits of a pair, each clipped to 0..1."""
+    budget = 1 - safe_div(F.abs(F.col("cost_per_day_usd") - F.col("u_cost_per_day_usd")), F.col("u_cost_per_day_usd"))
+    temp = 1 - F.abs(F.col("avg_temp_c") - F.col("u_avg_temp_c")) / 30.0
+    interest = _sum([1 - F.abs(F.col(c) - F.col(_U[c])) / 10.0 for c in INTEREST_COLUMNS]) / 7.0
+    safety = 1 - F.abs(F.col("safety") - F.col("u_safety")) / 10.0
+    popularity = 1 - F.abs(F.col("popularity") - F.col("u_popularity")) / 10.0
+    parts = {"budget_fit": budget, "temp_fit": temp, "interest_fit": interest, "safety_fit": safety, "popularity_fit": popularity}
+    return [clip(x, 0, 1).alias(k) for k, x in parts.items()]
+
+
+def _cosine_profile(p: DataFrame) -> DataFrame:
+    """R3, profile side: per feature the range over candidates and profile, the scaled profile, its norm."""
+    for c in FEATURE_COLUMNS:
+        p = p.withColumns({f"lo_{c}": F.least(f"min_{c}", _U[c]), f"hi_{c}": F.greatest(f"max_{c}", _U[c])})
+    p = p.withColumns({f"rng_{c}": F.nullif(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(0.0)) for c in FEATURE_COLUMNS})
+    p = p.withColumns({f"b_{c}": F.when((F.col(f"hi_{c}") - F.col(f"lo_{c}")).isNotNull(), F.coalesce((F.col(_U[c]) - F.col(f"lo_{c}")) / F.col(f"rng_{c}"), F.lit(0.0)))
+                       for c in FEATURE_COLUMNS})
+    norm = F.sqrt(_sum([F.col(f"b_{c}") * F.col(f"b_{c}") for c in FEATURE_COLUMNS]))
+    return p.withColumn("b_norm", norm).drop(*[f"{x}_{c}" for x in ("hi", "min", "max") for c in FEATURE_COLUMNS])
+
+
+def _cosine_score(pairs: DataFrame) -> DataFrame:
     """Cosine of the scaled item and profile vectors; a zero vector gives 0."""
-    a = [F.col(f"_a_{c}") for c in PROFILE_FEATURE]
-    b = [F.col(f"_b_{c}") for c in PROFILE_FEATURE]
-    dot = _sum([x * y for x, y in zip(a, b)])
-    na = F.sqrt(_sum([x * x for x in a]))
-    nb = F.sqrt(_sum([y * y for y in b]))
-    return F.coalesce(F.try_divide(dot, na * nb), F.lit(0.0))
+    a = {c: _scaled_by(F.col(c), F.col(f"lo_{c}"), F.col(f"rng_{c}")).alias(f"a_{c}") for c in FEATURE_COLUMNS}
+    staged = pairs.select("*", *a.values())
+    dot = _sum([F.col(f"a_{c}") * F.col(f"b_{c}") for c in FEATURE_COLUMNS])
+    norm = F.sqrt(_sum([F.col(f"a_{c}") * F.col(f"a_{c}") for c in FEATURE_COLUMNS]))
+    return staged.withColumn("match_score", F.coalesce(F.try_divide(dot, norm * F.col("b_norm")), F.lit(0.0)))
 
 
-def _knn_scaled(pc) -> list[Column]:
-    """Per-feature difference after scaling fitted on the candidates only."""
-    out = []
-    for c, p in PROFILE_FEATURE.items():
-        lo, hi = F.col(f"min_{c}"), F.col(f"max_{c}")
-        d = _scaled(F.col(c), lo, hi, True) - _scaled(F.col(pc(p)).cast("double"), lo, hi, True)
-        out.append(d.alias(f"_d_{c}"))
-    return out
+def _scaled_by(x: Column, lo: Column, rng: Column) -> Column:
+    return F.when(rng.isNull(), F.lit(0.0)).otherwise((x - lo) / rng)
 
 
-def _knn_from_scaled() -> Column:
+def _knn_profile(p: DataFrame) -> DataFrame:
+    """R5, profile side: per feature the candidates' range (1 where it is empty) and the scaled profile."""
+    rng = {f"rng_{c}": F.coalesce(F.nullif(F.col(f"max_{c}") - F.col(f"min_{c}"), F.lit(0.0)), F.lit(1.0)) for c in FEATURE_COLUMNS}
+    p = p.withColumns(rng)
+    scaled = {f"b_{c}": (F.col(_U[c]) - F.col(f"min_{c}")) / F.col(f"rng_{c}") for c in FEATURE_COLUMNS}
+    return p.withColumns(scaled).drop(*[f"max_{c}" for c in FEATURE_COLUMNS])
+
+
+def _knn_score(pairs: DataFrame) -> DataFrame:
     """1 / (1 + Euclidean distance)."""
-    return 1.0 / (1.0 + F.sqrt(_sum([F.col(f"_d_{c}") * F.col(f"_d_{c}") for c in PROFILE_FEATURE])))
+    d = [((F.col(c) - F.col(f"min_{c}")) / F.col(f"rng_{c}") - F.col(f"b_{c}")).alias(f"d_{c}") for c in FEATURE_COLUMNS]
+    staged = pairs.select("*", *d)
+    far = F.sqrt(_sum([F.col(f"d_{c}") * F.col(f"d_{c}") for c in FEATURE_COLUMNS]))
+    return staged.withColumn("match_score", 1.0 / (1.0 + far))
+
+
+def _weighted(pairs: DataFrame) -> DataFrame:
+    """Weighted sum of the five fits."""
+    return pairs.select("*", *_weighted_fits()).withColumn("match_score", weighted_score_from_parts())
+
+
+def ranged_profiles(profiles: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Profiles with their own features (u_*), their context's ranges and salts; and the contexts' salts."""
+    user = [F.col(p).cast("double").alias(_U[c]) for c, p in PROFILE_FEATURE.items()]
+    prof = with_trip(profiles).select("profile_id", "method", "currency", "start_date", "end_date", *user, *CTX_KEYS)
+    ranges = context_ranges(items)
+    counts = prof.groupBy(*CTX_KEYS).agg(F.count(F.lit(1)).alias("n_profiles"))
+    salts = ranges.join(counts, CTX_KEYS).select(*CTX_KEYS, (F.expr(f"n_profiles * n_candidates div {PAIRS_PER_SALT}") + 1).alias("salts"))
+    return prof.join(ranges.drop("n_candidates"), CTX_KEYS).join(salts, CTX_KEYS), salts
+
+
+def score_profiles(profiles: DataFrame, catalog: DataFrame, methods: tuple[str, ...] | None = None) -> DataFrame:
+    """Every profile against its candidates; ``match_score`` by the profile's method."""
+    items = dated_candidates(profiles, catalog).select(*CTX_KEYS, *ITEM_COLUMNS)
+    prof, salts = ranged_profiles(profiles, items)
+    m = F.col("method")
+    weighted = prof.where(~F.coalesce(m.isin(METHOD_COSINE, METHOD_KNN), F.lit(False))).drop(*[f"{x}_{c}" for x in ("min", "max") for c in FEATURE_COLUMNS])
+    branches = {"weighted": (weighted, _weighted), METHOD_COSINE: (_cosine_profile(prof.where(m == METHOD_COSINE)), _cosine_score),
+                METHOD_KNN: (_knn_profile(prof.where(m == METHOD_KNN)), _knn_score)}
+    out = ["profile_id", "method", "currency", "start_date", "end_date", *ITEM_COLUMNS, "match_score"]
+    parts = [score(_pairs(p, items, salts)).select(out) for k, (p, score) in branches.items() if methods is None or k in methods]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def rank_order() -> list[Column]:
@@ -211,5 +232,5 @@ def top_n(scored: DataFrame, n: int = 5, key: str = "profile_id") -> DataFrame:
     return scored.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= n)
 
 
-def recommend(profiles: DataFrame, catalog: DataFrame, n: int = 5) -> DataFrame:
-    return top_n(score_profiles(profiles, catalog), n)
+def recommend(profiles: DataFrame, catalog: DataFrame, n: int = 5, methods: tuple[str, ...] | None = None) -> DataFrame:
+    return top_n(score_profiles(profiles, catalog, methods), n)

@@ -39,7 +39,8 @@ def profiles(spark, sf, method=None):
 
 
 def ranked(spark, sf, method=None, n=5):
-    return mt.recommend(profiles(spark, sf, method), catalog(spark, sf), n)
+    methods = {None: None, METHOD_COSINE: (METHOD_COSINE,), METHOD_KNN: (METHOD_KNN,)}.get(method, ("weighted",))
+    return mt.recommend(profiles(spark, sf, method), catalog(spark, sf), n, methods)
 
 
 # ------------------------------------------------------------------ DuckDB side
@@ -193,26 +194,26 @@ def _ctx_out():
 
 @reg("trip_climate", f"SELECT {_CTX_OUT}, {r6('annual_avg_temp_c')} AS annual_avg_temp_c, {r6('avg_temp_c')} AS avg_temp_c FROM ctx_dated")
 def q_trip_climate(spark, sf):
-    d = mt.date_candidates(mt.scoped_candidates(mt.trip_contexts(profiles(spark, sf)), catalog(spark, sf)))
+    d = mt.dated_candidates(profiles(spark, sf), catalog(spark, sf))
     return d.select(*_ctx_out(), boundary("annual_avg_temp_c").alias("annual_avg_temp_c"),
                     boundary("avg_temp_c").alias("avg_temp_c"))
 
 
 @reg("season_name", f"SELECT {_CTX_OUT}, travel_season FROM ctx_dated")
 def q_season_name(spark, sf):
-    d = mt.date_candidates(mt.scoped_candidates(mt.trip_contexts(profiles(spark, sf)), catalog(spark, sf)))
+    d = mt.dated_candidates(profiles(spark, sf), catalog(spark, sf))
     return d.select(*_ctx_out(), "travel_season")
 
 
 @reg("seasonal_multiplier", f"SELECT {_CTX_OUT}, {r6('seasonal_multiplier')} AS seasonal_multiplier FROM ctx_dated")
 def q_seasonal_multiplier(spark, sf):
-    d = mt.date_candidates(mt.scoped_candidates(mt.trip_contexts(profiles(spark, sf)), catalog(spark, sf)))
+    d = mt.dated_candidates(profiles(spark, sf), catalog(spark, sf))
     return d.select(*_ctx_out(), boundary("seasonal_multiplier").alias("seasonal_multiplier"))
 
 
 @reg("seasonal_cost", f"SELECT {_CTX_OUT}, base_cost_per_day_usd, cost_per_day_usd FROM ctx_dated")
 def q_seasonal_cost(spark, sf):
-    d = mt.date_candidates(mt.scoped_candidates(mt.trip_contexts(profiles(spark, sf)), catalog(spark, sf)))
+    d = mt.dated_candidates(profiles(spark, sf), catalog(spark, sf))
     return d.select(*_ctx_out(), "base_cost_per_day_usd", "cost_per_day_usd")
 
 
@@ -223,7 +224,7 @@ _DATED_OUT = ["annual_avg_temp_c", "avg_temp_c", "base_cost_per_day_usd", "cost_
 @reg("apply_travel_dates", f"""SELECT {_CTX_OUT}, travel_season, {", ".join(f"{r6(c)} AS {c}" for c in _DATED_OUT)}
 FROM ctx_dated""")
 def q_apply_travel_dates(spark, sf):
-    d = mt.date_candidates(mt.scoped_candidates(mt.trip_contexts(profiles(spark, sf)), catalog(spark, sf)))
+    d = mt.dated_candidates(profiles(spark, sf), catalog(spark, sf))
     return d.select(*_ctx_out(), "travel_season",
                     *[boundary(c).alias(c) for c in _DATED_OUT])
 
