@@ -37,4 +37,5 @@ def load_all() -> None:
         userstate_plans,
         misc_plans,
         currency_plans,
+        scope_plans,
     )
