@@ -45,3 +45,22 @@ def test_period_label(spark):
                                 (dt.date(2026, 12, 28), dt.date(2027, 1, 3))], "s date, e date")
     got = [r.p for r in df.select(D.period_label("s", "e").alias("p")).collect()]
     assert got == ["March 5-9, 2026", "March 5 - April 2, 2026", "December 28, 2026 - January 03, 2027"]
+
+
+def test_climate_cells_in_literal_notation(spark):
+    """JSON first, then literals, then plain numbers; the last of equal keys counts."""
+    from roamer.operators import catalog as cat
+
+    cells = [("{'1': {'avg': 3.5}, '2': {'avg': None}}", 3.5, 3.5), ("[10, None]", 10.0, None), ("{'1': {'avg': 3.5,}}", 3.5, 3.5),
+             ('{"1": 3, "1": 4}', 4.0, 4.0), ("007", 7.0, None), ("7", None, None), ("[1, 3,]", 2.0, None), (None, None, None), ("nonsense", None, None)]
+    df = spark.createDataFrame([(i, c) for i, (c, _, _) in enumerate(cells)], "i int, c string")
+    staged = df.select("i", *cat.climate_parsed(F.col("c")))
+    got = staged.select("i", cat.climate_mean().alias("m"), cat.climate_months()[0]).orderBy("i").collect()
+    assert [(r["m"], r["temp_month_1"]) for r in got] == [(m, x) for _, m, x in cells]
+
+
+def test_title_case(spark):
+    from roamer.functions.text import title_case
+
+    df = spark.createDataFrame([("asia-pacific",), ("MIDDLE EAST",), ("o'neil 3rd",), ("",)], "t string")
+    assert [r[0] for r in df.select(title_case("t")).collect()] == ["Asia-Pacific", "Middle East", "O'Neil 3Rd", ""]
