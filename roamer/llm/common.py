@@ -95,9 +95,21 @@ def small_batches(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> I
         yield batch.slice(start)
 
 
+#: Rows that Spark sends to Python at once; its own default of 10,000 long texts would be 100s of MB.
+ARROW_ROWS = 1000
+
+
+def small_arrow_batches(df: DataFrame) -> DataFrame:
+    """Lower the session's Arrow batch size to ``ARROW_ROWS`` where it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only the columns an operator works on, under fixed names: other columns can't clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"),
+    return small_arrow_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"), *more)
 
 
@@ -107,7 +119,7 @@ FILTER_BITS = 1 << 26
 
 def marked(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, text): the mark tells texts with one id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
+    return small_arrow_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
 
 
 def _maybe(docs: DataFrame, wanted: DataFrame, id_col: str) -> tuple[DataFrame, Column]:

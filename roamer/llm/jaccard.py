@@ -15,7 +15,9 @@ overlap of two members follows from the leader's size and the two differences al
 the leader does not link get their answers from their differences, and members that are connected
 already are not compared. Only sets that still lie outside the largest component of one of their
 lists are then compared with the others of those lists, counted by shared prefix tokens first. No
-list is turned into all its pairs, and every link between components is found.
+list is turned into all its pairs, and every link between components is found. Of these pairs, parity
+sketches (four bits a token; differing bits bound the difference from below) drop those that cannot
+be links, each set is compared with its closest first, and only pairs still apart then are compared.
 
 Defined results: null, empty and blank texts have 0 shingles and are linked with nothing; equal rows
 are one class; documents with equal ids are told apart by their sets; a null id stays and is never the
@@ -30,18 +32,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamer.llm.common import cut, id_text, register, shared_folder, small_batches, table, utf8_views
+from roamer.llm.common import cut, marked, near_ids, register, small_batches, split_ids, table, utf8_views
 from roamer.llm.components import components
-from roamer.llm.shingles import set_key, shingle_sets
+from roamer.llm.shingles import parity_sketch, set_key, shingle_sets, sketch_distance
 
 #: Heavy hitters: seen this often in one task's share; at most so many are broadcast (16 bytes each).
 LOCAL_HITS = 8
 MAX_FREQUENT = 500_000
 BUCKET_POSTINGS = 400_000
+#: Tokens that a task holds before it counts or packs them.
+HELD_TOKENS = 1_000_000
 BLOCK = 64
+SHORT_LIST = 32
 CHUNK_SETS = 256
 CHUNK_SHINGLES = 400_000
 
@@ -53,16 +59,16 @@ def prefix_size(n):
 
 def _sets(batches: Iterator[pa.RecordBatch]):
     for big in batches:
-        for batch in small_batches(big, "text", 2 << 20):
+        for batch in small_batches(big, "text", 1 << 20):
             data, off, _ = utf8_views(batch.column("text"))
             yield batch, shingle_sets(np.frombuffer(data, np.uint8), off)
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node) a document, and (token, hits) for tokens that are frequent in a task's share."""
+    """(doc_id, mark, n, node, sketch) a document, and (token, hits) for tokens that are frequent in a task's share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("token", pa.int64()), ("hits", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary()), ("token", pa.int64()), ("hits", pa.int64())])
         seen, held, size, hits = set(), [], 0, {}
 
         def count() -> None:
@@ -73,23 +79,24 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
         for batch, sets in _sets(batches):
             keys = [set_key(s) for s in sets]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k or None for k in keys], pa.binary()),
+            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k or None for k in keys], pa.binary()),
+                                   pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary()),
                                    pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())], schema=schema)
             for k, s in zip(keys, sets):
                 if k and k not in seen:
                     seen.add(k)
                     held.append(s)
                     size += len(s)
-            if size > 4_000_000:  # bounds memory; counts of the parts add up
+            if size > HELD_TOKENS:  # bounds memory; counts of the parts add up
                 count()
                 held, size = [], 0
         count()
         if hits:
             n = len(hits)
-            yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
+            yield pa.record_batch([*[pa.nulls(n, pa.int64())] * 3, *[pa.nulls(n, pa.binary())] * 2,
                                    pa.array(np.fromiter(hits, np.uint64, n).view(np.int64)), pa.array(list(hits.values()), pa.int64())], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node binary, token long, hits long")
+    return docs.mapInArrow(run, "doc_id long, mark long, n long, node binary, sketch binary, token long, hits long")
 
 
 def _ordered(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -141,7 +148,7 @@ def _postings(docs: DataFrame, buckets: int, spread) -> DataFrame:
                     seen.add(k)
                     held.append((k, len(s), _ordered(s, frequent, counts)[:prefix_size(len(s))]))
                     size += len(held[-1][2])
-            if size > 2_000_000:
+            if size > HELD_TOKENS:
                 yield pack()
                 held, size = [], 0
         if held:
@@ -177,8 +184,8 @@ def _alive(n: np.ndarray, p: np.ndarray) -> np.ndarray:
     return live
 
 
-def _live_postings(batches: list[tuple]) -> pa.RecordBatch:
-    """The postings of one bucket that have a partner."""
+def _live_postings(batches: list[tuple], bucket: int) -> pa.Table:
+    """The postings of one bucket that have a partner, with their list's leader."""
     tok, node, n, pos = [], [], [], []
     for tokens, at, p, nodes, sizes in batches:
         at = np.frombuffer(at, np.int32)
@@ -206,28 +213,46 @@ def _live_postings(batches: list[tuple]) -> pa.RecordBatch:
     live[two] = live[two + 1] = _could_link(n[two], pos[two], n[two + 1], pos[two + 1])
     for a, m in zip(cuts[:-1][size > 2], size[size > 2]):
         live[a:a + m] = _alive(n[a:a + m], pos[a:a + m])
-    return pa.record_batch([pa.array(tok[live].view(np.int64)), pa.array(node[live].tolist(), pa.binary()),
-                            pa.array(n[live].astype(np.int32)), pa.array(pos[live].astype(np.int32))], names=["token", "node", "n", "pos"])
+    tok, node, n, pos = tok[live], node[live], n[live], pos[live]
+    # The least node of a list leads it; nodes are hashes.
+    halves = node.view(np.uint64).reshape(-1, 2) if len(node) else halves[:0]
+    order = np.lexsort((halves[:, 1], halves[:, 0], tok))
+    first = np.flatnonzero(np.concatenate([[True], tok[order][1:] != tok[order][:-1]])) if len(tok) else order
+    lead = np.empty(len(tok), np.int64)
+    lead[order] = np.repeat(order[first], np.diff(np.concatenate([first, [len(tok)]])))
+    cols = [pa.array(tok.view(np.int64)), _binary(node), n, pos, _binary(node[lead]), n[lead], pos[lead], np.full(len(tok), bucket)]
+    return pa.Table.from_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in cols], names=[f.split()[0] for f in _LIVE.split(", ")]).cast(_LIVE_SCHEMA)
+
+
+def _binary(nodes: np.ndarray) -> pa.Array:
+    """16-byte keys as an Arrow column, without Python objects."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(nodes), [None, pa.py_buffer(nodes.tobytes())]).cast(pa.binary())
+
+
+_LIVE = "token long, node binary, n int, pos int, hub binary, hn int, hp int, bucket int"
+_LIVE_SCHEMA = pa.schema([(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]]) for f in _LIVE.split(", ")])
 
 
 def _index(packed: DataFrame) -> DataFrame:
-    """(token, node, n, pos) of all postings that have a partner."""
-    ddl = "token long, node binary, n int, pos int"
+    """All postings that have a partner, with their list's leader; bucket is -1 for frequent tokens."""
 
-    def bucket(t: pa.Table) -> pa.Table:
+    def bucket(key: tuple, t: pa.Table) -> pa.Table:
         cols = [t.column(c).to_pylist() for c in ("tokens", "at", "pos", "nodes", "sizes")]
-        return pa.Table.from_batches([_live_postings(list(zip(*cols)))])
+        return _live_postings(list(zip(*cols)), key[0].as_py())
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for tokens, at, p, nodes, sizes in zip(*(b.column(c).to_pylist() for c in ("tokens", "at", "pos", "nodes", "sizes"))):
                 at = np.frombuffer(at, np.int32)
-                yield pa.record_batch([pa.array(np.frombuffer(tokens, np.int64)), pa.array(np.frombuffer(nodes, "V16")[at].tolist(), pa.binary()),
+                yield pa.record_batch([pa.array(np.frombuffer(tokens, np.int64)), _binary(np.frombuffer(nodes, "V16")[at]),
                                        pa.array(np.frombuffer(sizes, np.int32)[at]), pa.array(np.frombuffer(p, np.int32))], names=["token", "node", "n", "pos"])
 
-    rare = packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(bucket, ddl)
-    hot = packed.filter("bucket < 0").mapInArrow(unpack, ddl).groupBy("token", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    return rare.unionByName(hot)
+    rare = packed.filter("bucket >= 0").groupBy("bucket").applyInArrow(bucket, _LIVE)
+    hot = packed.filter("bucket < 0").mapInArrow(unpack, "token long, node binary, n int, pos int")
+    hot = cut(hot.groupBy("token", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos")))
+    lead = cut(hot.groupBy("token").agg(F.min(F.struct(F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hp"))).alias("l")))
+    hot = hot.join(lead.select("token", "l.hub", "l.hn", "l.hp"), "token").withColumn("bucket", F.lit(-1))
+    return rare.unionByName(hot.select(*rare.columns))
 
 
 def _fits(nx: str, px: str, ny: str, py: str) -> Column:
@@ -240,17 +265,36 @@ def _enough(shared: str, nx: str, ny: str) -> Column:
     return F.expr(f"{shared} >= (4 * ({nx} + {ny}) + 8) div 9 - (greatest((4 * {nx} + 4) div 5, (4 * {ny} + 4) div 5) - 1)")
 
 
-def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, sig: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of one document of each wanted class."""
+    reps = sig.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    near = near_ids(docs, reps)
+    found = near.join(reps, near["doc_id"].eqNullSafe(reps["doc_id"])).select("node", "text")
+
+    def of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Without texts that share a representative's id but not its set."""
+        for batch, sets in _sets(batches):
+            same = [set_key(s) == k for s, k in zip(sets, batch.column("node").to_pylist())]
+            yield batch.filter(pa.array(same, pa.bool_()))
+
+    return found.mapInArrow(of_class, found.schema)
+
+
+def _compare(pairs: DataFrame, docs: DataFrame, sig: DataFrame) -> DataFrame:
     """Links (a, b) among each hub and its partners; pairs has hub, node, n (the node's set size)."""
-    load = pairs.groupBy("hub").agg((F.expr(f"count(*) div {CHUNK_SETS} + sum(n) div {CHUNK_SHINGLES}") + 1).alias("chunks"))
+    pairs = cut(pairs)
+    texts = _texts(docs, sig, pairs.select("node").union(pairs.select(F.col("hub").alias("node"))))
+    # Small sides are materialised before a join, so that Spark can split the other side's hot keys.
+    load = cut(pairs.groupBy("hub").agg((F.expr(f"count(*) div {CHUNK_SETS} + sum(n) div {CHUNK_SHINGLES}") + 1).alias("chunks")))
     members = pairs.join(load, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node")
     hubs = load.select("hub", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), F.col("hub").alias("node"))
     rows = members.unionByName(hubs).join(texts, "node").select("hub", "chunk", "node", "text")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        hub, nodes = key[0].as_py(), t.column("node").to_pylist()
-        data, off, _ = utf8_views(t.column("text"))
-        links = _answers(hub, nodes, shingle_sets(np.frombuffer(data, np.uint8), off))
+        nodes = t.column("node").to_pylist()
+        one = list({k: i for i, k in enumerate(nodes)}.values())  # a repeated row fetches its text twice
+        data, off, _ = utf8_views(t.column("text").take(pa.array(one)))
+        links = _answers(key[0].as_py(), [nodes[i] for i in one], shingle_sets(np.frombuffer(data, np.uint8), off))
         return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
     return rows.groupBy("hub", "chunk").applyInArrow(run, "a binary, b binary")
@@ -307,68 +351,169 @@ def _answers(hub: bytes, nodes: list[bytes], sets: list[np.ndarray]) -> list[tup
 
 def _leader_pairs(live: DataFrame) -> DataFrame:
     """(hub, node, n): members with their list's leader, where they share enough prefix tokens."""
-    lead = live.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hp"))).alias("l"))
-    hits = live.join(lead.select("token", "l.hub", "l.hn", "l.hp"), "token").filter(F.col("node") != F.col("hub")).filter(_fits("n", "pos", "hn", "hp"))
+    hits = live.filter(F.col("node") != F.col("hub")).filter(_fits("n", "pos", "hn", "hp"))
     return hits.groupBy("hub", "node", "hn", "n").agg(F.count("*").alias("shared")).filter(_enough("shared", "n", "hn")).select("hub", "node", "n")
 
 
+def _bucket_outside(t: pa.Table) -> pa.Table:
+    """Of one bucket, pairs of a set outside the largest component of a list with sets of other
+    components in it, and how many lists they share so."""
+    tok, n, pos = (t.column(c).to_numpy().astype(np.int64) for c in ("token", "n", "pos"))
+    names, node = _codes(t.column("node"))
+    label = _codes(t.column("label"))[1]
+    order = np.lexsort((label, tok))
+    tok, n, pos, node, label = tok[order], n[order], pos[order], node[order], label[order]
+    cuts = np.concatenate([[0], np.flatnonzero(tok[1:] != tok[:-1]) + 1, [len(tok)]])
+    mixed = label[cuts[:-1]] != label[cuts[1:] - 1]
+    total, held, size = {}, [], 0
+    sizes = np.zeros(len(names), np.int64)
+    sizes[node] = n
+
+    def count() -> None:
+        pair, c = np.unique(np.concatenate(held), return_counts=True)
+        for k, v in zip(pair.tolist(), c.tolist()):
+            total[k] = total.get(k, 0) + v
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal held, size
+        ok = (label[i] != label[j]) & _could_link(n[i], pos[i], n[j], pos[j])
+        x, y = node[i[ok]], node[j[ok]]
+        held.append(np.minimum(x, y) * len(names) + np.maximum(x, y))
+        size += len(x)
+        if size > HELD_TOKENS:
+            count()
+            held, size = [], 0
+
+    start, many = cuts[:-1][mixed], np.diff(cuts)[mixed]
+    for m in np.unique(many[many <= SHORT_LIST]):  # short lists of one length together
+        i, j = np.triu_indices(m, 1)
+        lists = start[many == m]
+        step = max(1, HELD_TOKENS // len(i))
+        for k in range(0, len(lists), step):
+            part = lists[k:k + step, None]
+            take((part + i).ravel(), (part + j).ravel())
+    for a, m in zip(start[many > SHORT_LIST], many[many > SHORT_LIST]):
+        x = np.arange(a, a + m)
+        groups, inv, sizes_of = np.unique(label[x], return_inverse=True, return_counts=True)
+        top = inv == int(np.argmax(sizes_of))
+        for i in x[~top]:  # each set outside, with the largest component and with the sets behind it
+            j = x[top | (x > i)]
+            take(np.full(len(j), i), j)
+    if held:
+        count()
+    pair = np.fromiter(total, np.int64, len(total))
+    i, j = pair // max(1, len(names)), pair % max(1, len(names))
+    return pa.table({"hub": _binary(names[i]), "node": _binary(names[j]), "hn": pa.array(sizes[i], pa.int32()), "n": pa.array(sizes[j], pa.int32()),
+                     "shared": pa.array(np.fromiter(total.values(), np.int64, len(total)), pa.int64())})
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 16-byte keys, and each row's number among them."""
+    coded = pa.concat_arrays([c.cast(pa.binary()) for c in column.chunks]).dictionary_encode()
+    return np.frombuffer(b"".join(coded.dictionary.to_pylist()), "V16"), coded.indices.to_numpy().astype(np.int64)
+
+
 def _outside_pairs(live: DataFrame, labels: DataFrame) -> DataFrame:
-    """(hub, node, n): sets outside the largest component of a list, with the list's sets of other
+    """(hub, hn, node, n): sets outside the largest component of a list, with the list's sets of other
     components, where they share enough prefix tokens."""
-    named = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = (named.groupBy("token", "label").agg(F.count("*").alias("c"))
+    named = live.select("bucket", "token", "node", "n", "pos").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rare = named.filter("bucket >= 0").groupBy("bucket").applyInArrow(_bucket_outside, "hub binary, node binary, hn int, n int, shared long")
+    # Lists of frequent tokens are joined, not gathered.
+    hot = named.filter("bucket < 0")
+    mixed = (hot.groupBy("token", "label").agg(F.count("*").alias("c"))
              .groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("top.label").alias("top")))
-    lists = cut(named.join(mixed, "token"))
+    mixed = cut(mixed)
+    lists = cut(hot.join(mixed, "token"))
     few = lists.filter("label <> top").select("token", F.col("node").alias("hub"), F.col("label").alias("hl"), F.col("n").alias("hn"), F.col("pos").alias("hp"))
-    hits = (few.join(lists, "token").filter("hl <> label").filter("label = top or hub < node").filter(_fits("n", "pos", "hn", "hp")))
-    # A pair may meet from either side, as either may be outside in some list: count it once a token.
-    pair = hits.select("token", F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"),
+    hits = few.join(lists, "token").filter("hl <> label").filter("label = top or hub < node").filter(_fits("n", "pos", "hn", "hp"))
+    # A pair may meet from either side, as either may be outside in some list.
+    pair = hits.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"),
                        F.when(F.col("hub") < F.col("node"), F.col("hn")).otherwise(F.col("n")).alias("hn"),
                        F.when(F.col("hub") < F.col("node"), F.col("n")).otherwise(F.col("hn")).alias("n"))
-    return pair.groupBy("hub", "node", "hn", "n").agg(F.count("*").alias("shared")).filter(_enough("shared", "n", "hn")).select("hub", "node", "n")
+    hot_pairs = pair.groupBy("hub", "node", "hn", "n").agg(F.count("*").alias("shared"))
+    way = F.col("hub") < F.col("node")
+    rare = rare.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"), F.when(way, F.col("hn")).otherwise(F.col("n")).alias("hn"),
+                       F.when(way, F.col("n")).otherwise(F.col("hn")).alias("n"), "shared")
+    both = rare.unionByName(hot_pairs).groupBy("hub", "node", "hn", "n").agg(F.sum("shared").alias("shared"))
+    return both.filter(_enough("shared", "n", "hn")).select("hub", "hn", "node", "n")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _close_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (hub, node, n, gap) whose parity sketches leave a link possible."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gap = [sketch_distance(x, y) for x, y in zip(b.column("s1").to_pylist(), b.column("s2").to_pylist())]
+            out = b.drop_columns(["s1", "s2"]).append_column("gap", pa.array(gap, pa.int64()))
+            yield out.filter(pc.less_equal(pc.multiply(out.column("gap"), 9), pc.add(out.column("hn"), out.column("n")).cast(pa.int64())))
+
+    one = sketches.join(pairs.select(F.col("hub").alias("node")).union(pairs.select("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("s"))
+    rows = (pairs.join(one.select(F.col("node").alias("hub"), F.col("s").alias("s1")), "hub")
+            .join(one.select("node", F.col("s").alias("s2")), "node").select("hub", "hn", "node", "n", "s1", "s2"))
+    return rows.mapInArrow(run, "hub binary, hn int, node binary, n int, gap long")
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """For every set of the pairs, the one with the partner that its sketch puts closest."""
+    both = pairs.select("hub", "node", "n", "gap").union(pairs.select("node", "hub", "hn", "gap"))
+    best = both.groupBy("node").agg(F.min_by(F.struct("hub", "n"), F.struct(F.col("gap") / F.col("n"), F.col("hub"))).alias("b"))
+    return best.select("b.hub", "node", "b.n").withColumn("n", F.col("n").cast("int"))
+
+
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of labels (which stand for earlier links) and more links."""
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, n, node, label) of every row: the mark is a hash of its text, node the key of its
+    set, label that of its component (both null for a set without shingles)."""
     spark = docs.sparkSession
-    docs = id_text(docs)
     first = cut(_signatures(docs))
-    sig = first.filter("hits is null").select("doc_id", "n", "node")
+    sig = first.filter("hits is null").select("doc_id", "mark", "n", "node")
     total = sig.agg(F.sum("n")).first()[0] or 0
     least = max(LOCAL_HITS, total // MAX_FREQUENT)  # the sum of all hits is at most total, so MAX_FREQUENT tokens at most
     found = first.filter("hits is not null").groupBy("token").agg(F.sum("hits").alias("c")).filter(F.col("c") >= least).toPandas()
     tokens = found["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     spread = spark.sparkContext.broadcast((tokens[order], found["c"].to_numpy(np.int64)[order]))
-    buckets = max(16, total // 5 // BUCKET_POSTINGS)
-    live = cut(_index(_postings(docs, buckets, spread)))
+    live = cut(_index(_postings(docs, max(16, total // 5 // BUCKET_POSTINGS), spread)))
+    links = cut(_compare(_leader_pairs(live), docs, sig))
+    labels = cut(components(links))
+    sketches = first.filter("node is not null").select("node", "sketch")
+    close = cut(_close_pairs(cut(_outside_pairs(live, labels)), sketches))
+    # First every set with its closest; most of the rest is connected then and need not be compared.
+    labels = cut(_merge(labels, _compare(_closest(close), docs, sig)))
+    apart = close.join(labels.select(F.col("node").alias("hub"), F.col("label").alias("l1")), "hub", "left").join(
+        labels.select("node", F.col("label").alias("l2")), "node", "left").filter("l1 is null or l2 is null or l1 <> l2")
+    merged = _merge(labels, _compare(apart.select("hub", "node", "n"), docs, sig))
+    return sig.join(cut(merged), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    # Texts of the sets in live lists, one of each class, as a table in the shared folder.
-    reps = sig.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(live.select("node").distinct(), "node", "left_semi")
-    path = shared_folder(spark, "jaccard-texts")
-    (docs.join(reps, docs["doc_id"].eqNullSafe(reps["doc_id"])).select("node", "text").write.parquet(path))
-    texts = _of_class(spark.read.parquet(path))
 
-    links = cut(_compare(_leader_pairs(live), texts))
-    labels = cut(components(links))
-    more = cut(_compare(_outside_pairs(live, labels), texts))
-    # The first links may be taken as their labels.
-    merged = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
-    named = sig.join(merged, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least_id = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return (named.join(least_id, "label", "left")
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    named = _classes(marked(docs))
+    named = cut(named)
+    least = cut(named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")))
+    return (named.join(least, "label", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")))
 
 
-def _of_class(texts: DataFrame) -> DataFrame:
-    """Drop texts that share a representative's id but not its set, and repeats of one set."""
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, with all its columns: the least id (null ids last). Texts without
+    words stay; repeated rows are one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches):
-            same = [set_key(s) == k for s, k in zip(sets, batch.column("node").to_pylist())]
-            yield batch.filter(pa.array(same, pa.bool_()))
-
-    return texts.mapInArrow(run, texts.schema)
+    Only documents that go or are there twice are looked for by a join; the others are not shuffled.
+    """
+    named = cut(_classes(marked(docs)))
+    best = cut(named.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "mark")).alias("w")))
+    rows = named.groupBy("doc_id", "mark", "label").agg(F.count("*").alias("c")).join(best, "label", "left")
+    stays = F.col("label").isNull() | (F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("mark") == F.col("w.mark")))
+    touched = cut(rows.withColumn("stays", stays).filter("c > 1 or not stays").select("doc_id", "mark", "stays"))
+    near, far = split_ids(docs, touched)
+    keyed = near.withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__m": F.xxhash64("text")})
+    gone = touched.filter("not stays").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__k"), F.col("mark").alias("__m")).distinct()
+    left = keyed.join(gone, ["__k", "__m"], "left_anti").dropDuplicates(["__k", "__m"]).select(*docs.columns)
+    return far.unionByName(left)
 
 
 @register("op10_jaccard_join")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamer.llm.common import cut, register, small_batches, table, utf8_views
+from roamer.llm.common import cut, register, small_arrow_batches, small_batches, table, utf8_views
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -81,7 +81,7 @@ _COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_re
 def document_signals(docs: DataFrame, *keep: str) -> DataFrame:
     """The given columns and the six counts of every row's text."""
     names = [f"__k{i}" for i in range(len(keep))]
-    chosen = docs.select(*[F.col(k).alias(n) for k, n in zip(keep, names)], F.col("text").cast("string").alias("text"))
+    chosen = small_arrow_batches(docs).select(*[F.col(k).alias(n) for k, n in zip(keep, names)], F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
