@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 700_000
 CACHED_BYTES = 64
 
 #: A chunk that is one run of Latin letters and then a run of marks: two pre-tokens, without the
