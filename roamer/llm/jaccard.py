@@ -13,7 +13,8 @@ Answers. In every list the set with the least hash leads; pairs of a leader and
 enough prefix tokens are compared exactly. Members are held as differences to their leader: the
 overlap of two members follows from the leader's size and the two differences alone, so members that
 the leader does not link get their answers from their differences, and members that are connected
-already are not compared. Only sets that still lie outside the largest component of one of their
+already are not compared. Sets of frequent tokens' lists are compared once more in chunks of their
+longest list. Only sets that still lie outside the largest component of one of their
 lists are then compared with the others of those lists, counted by shared prefix tokens first. No
 list is turned into all its pairs, and every link between components is found. Of these pairs, parity
 sketches (four bits a token; differing bits bound the difference from below) drop those that cannot
@@ -413,6 +414,24 @@ def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(coded.dictionary.to_pylist()), "V16"), coded.indices.to_numpy().astype(np.int64)
 
 
+def _mixed(named: DataFrame) -> DataFrame:
+    """(token, top, size) of lists with sets of several components: the largest one's label, and all sets."""
+    return cut(named.groupBy("token", "label").agg(F.count("*").alias("c"))
+               .groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("k"), F.sum("c").alias("size"))
+               .filter("k > 1").select("token", F.col("top.label").alias("top"), "size"))
+
+
+def _neighbour_pairs(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """(hub, node, n): every set of a frequent token's mixed list, once, with the leader of a chunk of
+    the longest such list. Their differences to the leader answer for all sets of the chunk, so a dense
+    group of near copies is connected here, by as many comparisons as it has sets."""
+    hot = live.filter("bucket < 0").select("token", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = hot.join(_mixed(hot), "token").groupBy("node", "n").agg(F.max(F.struct("size", "token")).alias("l"))
+    dealt = cut(own.select("node", "n", F.col("l.token").alias("token"), F.expr(f"pmod(xxhash64(node), l.size div {CHUNK_SETS} + 1)").alias("chunk")))
+    lead = cut(dealt.groupBy("token", "chunk").agg(F.min("node").alias("hub")))
+    return dealt.join(lead, ["token", "chunk"]).filter("node <> hub").select("hub", "node", "n")
+
+
 def _outside_pairs(live: DataFrame, labels: DataFrame) -> DataFrame:
     """(hub, hn, node, n): sets outside the largest component of a list, with the list's sets of other
     components, where they share enough prefix tokens."""
@@ -420,9 +439,7 @@ def _outside_pairs(live: DataFrame, labels: DataFrame) -> DataFrame:
     rare = named.filter("bucket >= 0").groupBy("bucket").applyInArrow(_bucket_outside, "hub binary, node binary, hn int, n int, shared long")
     # Lists of frequent tokens are joined, not gathered.
     hot = named.filter("bucket < 0")
-    mixed = (hot.groupBy("token", "label").agg(F.count("*").alias("c"))
-             .groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("top.label").alias("top")))
-    mixed = cut(mixed)
+    mixed = _mixed(hot)
     lists = cut(hot.join(mixed, "token"))
     few = lists.filter("label <> top").select("token", F.col("node").alias("hub"), F.col("label").alias("hl"), F.col("n").alias("hn"), F.col("pos").alias("hp"))
     hits = few.join(lists, "token").filter("hl <> label").filter("label = top or hub < node").filter(_fits("n", "pos", "hn", "hp"))
@@ -479,6 +496,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     live = cut(_index(_postings(docs, max(16, total // 5 // BUCKET_POSTINGS), spread)))
     links = cut(_compare(_leader_pairs(live), docs, sig))
     labels = cut(components(links))
+    labels = cut(_merge(labels, _compare(_neighbour_pairs(live, labels), docs, sig)))
     sketches = first.filter("node is not null").select("node", "sketch")
     close = cut(_close_pairs(cut(_outside_pairs(live, labels)), sketches))
     # First every set with its closest; most of the rest is connected then and need not be compared.
