@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamer.llm.common import cut, open_store, register, shared_folder, small_batches, table, utf8_views, write_whole
+from roamer.llm.common import cut, open_store, register, shared_folder, small_arrow_batches, small_batches, table, utf8_views, write_whole
 
 ARCHIVE_BYTES = 64 << 20
 DATE = "2026-01-01T00:00:00Z"
@@ -84,10 +84,11 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
     Names hold the task attempt, so an attempt that is repeated elsewhere never mixes with the first.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
+    rows = small_arrow_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
-    # Counted before the payloads move: a payload that many pages share is one row a task.
-    target = rows.groupBy("sha").agg(F.max("page_id").alias("target"))
+    # Counted before the payloads move: a payload that many pages share is one row a task. Materialised,
+    # so that Spark can split the pages of a payload that very many share.
+    target = cut(rows.groupBy("sha").agg(F.max("page_id").alias("target")))
     placed = rows.join(target, "sha").select("page_id", "url", "html", "target")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +206,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def captures(archives: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, and the nested records."""
-    nested = cut(assemble(read_records(archives)))
+    # Read once: the joins take their sides from the materialised headers, whose size Spark knows.
+    nested = cut(assemble(cut(read_records(archives))))
     flat = nested.select(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
                          F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("to"), "request", "response", "metadata")
     # Repeated rows have equal responses: one a record id is enough to be found.
