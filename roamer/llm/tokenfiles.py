@@ -206,7 +206,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 got = [(k, base + int(s.offsets[r]), int(s.offsets[r + 1] - s.offsets[r]), zlib.crc32(s.ids(r).tobytes())) for k, r in rows]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*got)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    shards = manifest.select("uri", "base").repartition(F.col("uri"))
+    # A task a shard, whatever the size of the list.
+    shards = manifest.select("uri", "base").repartition(max(1, manifest.count()), "uri")
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
