@@ -2,10 +2,10 @@
 
 Documents are tokenised where they lie; only piece lengths travel. Pieces of exactly the sequence
 length are sequences by themselves. The others are dealt to groups of a bounded number of tokens and
-pieces; each group is packed best-fit decreasing and then improved: the emptiest bin gives documents
-away by moves, one-for-one, two-for-one and one-for-two exchanges, each of which raises the sum of
-squared fills, until the bin is empty or no exchange helps. The emptiest bins of every group are
-opened again and packed together in a second round, so that rounding losses of the groups meet.
+pieces; each group is packed best-fit decreasing and then improved: the emptiest bin gives one or two
+documents for none, one or two of another bin, each exchange raising the sum of squared fills, until
+the bin is empty or no exchange helps; then the next. A group ends at its lower bound, or when every
+underfull bin has been the victim since the last exchange. The emptiest bins of every group are opened again and packed together in a second round, so that rounding losses of the groups meet.
 
 Defined results: null or empty text is the one id ``end_id``; repeated rows (same id, same text) are
 packed as documents of their own; a null doc_id is carried through; ties are broken by the row's
@@ -31,8 +31,6 @@ END_ID = 1
 GROUP_BINS = 2048
 GROUP_PIECES = 50_000
 REOPENED_BINS = 16
-SEARCH_STEPS = 200
-PAIR_ITEMS = 12
 
 
 def token_pieces(docs: DataFrame, path: str, size: int = SEQUENCE_TOKENS, end_id: int = END_ID,
@@ -95,102 +93,149 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> np.ndarray:
 
 
 class _Search:
-    """Local search over the underfull bins of one group."""
+    """Local search over the underfull bins of one group.
+
+    ``sums[b]`` are 0 and the lengths that one or two pieces of bin ``b`` have together. For the bin that gives,
+    the victim, bins at least as full are in ``room``: ``room[t, b]`` is the free space of bin ``b`` if it has the
+    sum ``t``, else -1, and ``top[t]`` the most of any bin. Of emptier bins, ``below[s]`` counts the sums
+    that end at ``s`` with the bin's free space added.
+    """
 
     def __init__(self, lengths: np.ndarray, bins: np.ndarray, size: int):
         self.len, self.bin, self.size = lengths, bins, size
         self.fill = np.bincount(bins, weights=lengths).astype(np.int64)
         self.squares: list[int] = []
-
-    def _put(self, items, b: int) -> None:
-        for i in np.atleast_1d(items):
-            self.fill[self.bin[i]] -= self.len[i]
-            self.bin[i] = b
-            self.fill[b] += self.len[i]
-
-    def _exchange(self, victim: int) -> bool:
-        """The best single move or exchange that shifts tokens out of ``victim`` and raises the sum of
-        squared fills; False if there is none."""
-        mine = np.flatnonzero(self.bin == victim)
-        free = self.size - self.fill
-        free[victim] = 0
-        free[self.fill == 0] = 0
-        rest = np.flatnonzero(free[self.bin] > 0)
-        if not len(mine) or not len(rest):
-            return False
-        x = self.len[mine]
-        # Move: the longest document that fits, into the bin it fills best.
-        room = np.flatnonzero(free > 0)
-        for i in mine[np.argsort(-x, kind="stable")]:
-            fits = room[(free[room] >= self.len[i]) & (self.fill[room] + self.len[i] > self.fill[victim])]
-            if len(fits):
-                self._put(i, int(fits[np.argmin(free[fits])]))
-                return True
-        y, gap, lack = self.len[rest], free[self.bin[rest]], self.fill[victim] - self.fill[self.bin[rest]]
-        best, act = 0, None
-        xs, where = np.unique(x, return_index=True)
-        # One for one: the largest x - y that the other bin has room for.
-        for v, w in zip(xs, where):
-            gain = v - y
-            gain = np.where((gain <= gap) & (gain > lack), gain, 0)
-            j = int(np.argmax(gain))
-            if gain[j] > best:
-                best, act = int(gain[j]), ((mine[w],), (rest[j],))
-        # Two of the victim's for one.
-        few = mine[np.argsort(x, kind="stable")[:PAIR_ITEMS]]
-        p, q = np.triu_indices(len(few), 1)
-        if len(p):
-            sums, first = np.unique(self.len[few[p]] + self.len[few[q]], return_index=True)
-            for v, w in zip(sums, first):
-                gain = v - y
-                gain = np.where((gain <= gap) & (gain > lack), gain, 0)
-                j = int(np.argmax(gain))
-                if gain[j] > best:
-                    best, act = int(gain[j]), ((few[p[w]], few[q[w]]), (rest[j],))
-        # One of the victim's for two neighbours (by length) of another bin.
-        o = np.lexsort((y, self.bin[rest]))
-        same = self.bin[rest[o[1:]]] == self.bin[rest[o[:-1]]]
-        pair, total = np.flatnonzero(same), None
-        if len(pair):
-            total, pgap, plack = y[o[pair]] + y[o[pair + 1]], gap[o[pair]], lack[o[pair]]
-            for v, w in zip(xs, where):
-                gain = v - total
-                gain = np.where((gain <= pgap) & (gain > plack), gain, 0)
-                j = int(np.argmax(gain))
-                if gain[j] > best:
-                    best, act = int(gain[j]), ((mine[w],), (rest[o[pair[j]]], rest[o[pair[j] + 1]]))
-        if act is None:
-            return False
-        give, take = act
-        other = int(self.bin[take[0]])
-        self._put(np.array(give), other)
-        self._put(np.array(take), victim)
-        return True
-
-    def run(self, steps: int) -> np.ndarray:
-        """Empty bins while the count is over the lower bound; ``steps`` bounds the exchanges tried."""
-        need, tried = -(-int(self.len.sum()) // self.size), set()
-        while steps > 0 and np.count_nonzero(self.fill) > need:
-            givers = sorted((b for b in np.flatnonzero((self.fill > 0) & (self.fill < self.size)).tolist() if b not in tried),
-                            key=lambda b: (self.fill[b], b))
-            if len(givers) < 2:
-                break
-            victim, found = givers[0], True
-            while self.fill[victim] and found and steps > 0:
-                # The victim gives first; where it can't, an exchange between other bins makes room.
-                found = False
-                for b in givers:
-                    if self.fill[b] and steps > 0:
-                        steps -= 1
-                        if found := self._exchange(b):
-                            self.squares.append(int((self.fill ** 2).sum()))
-                            break
+        self.total = int((self.fill ** 2).sum())
+        order = np.argsort(bins, kind="stable")
+        cuts = np.searchsorted(bins[order], np.arange(len(self.fill) + 1))
+        self.under = np.flatnonzero((self.fill > 0) & (self.fill < size))
+        self.place = {b: i for i, b in enumerate(self.under.tolist())}
+        self.items = {b: order[cuts[b]:cuts[b + 1]].tolist() for b in self.place}
+        self.room = np.full((size, len(self.under)), -1, np.int32)
+        self.has = np.zeros((size, len(self.under)), bool)
+        self.top, self.below = np.full(size, -1, np.int64), np.zeros(size + 1, np.int64)
+        self.side = np.zeros(len(self.under), np.int8)  # 0: nowhere, 1: in room, 2: in below
+        self.sums = {b: self._sums(b) for b in self.place}
+        for b, i in self.place.items():
+            self.has[self.sums[b], i] = True
+
+    def _sums(self, b: int) -> np.ndarray:
+        if not self.items[b]:
+            return np.zeros(1, np.int64)
+        x, n = np.unique(self.len[self.items[b]], return_counts=True)
+        i, j = np.triu_indices(len(x), 1)
+        return np.unique(np.concatenate([[0], x, 2 * x[n > 1], x[i] + x[j]]))
+
+    def _pieces(self, b: int, total: int) -> list[int]:
+        """One or two pieces of ``b`` that have ``total`` together; none for 0."""
+        seen: dict[int, int] = {}
+        if not total:
+            return []
+        own = self.items[b]
+        x = self.len[own].tolist()
+        if total in x:
+            return [own[x.index(total)]]
+        for i, n in zip(own, x):
+            if total - n in seen:
+                return [seen[total - n], i]
+            seen[n] = i
+        raise AssertionError("no such sum")
+
+    def _side(self, b: int, side: int) -> None:
+        i, t, free = self.place[b], self.sums[b], int(self.size - self.fill[b])
+        if self.side[i] == 1:
+            self.room[t, i] = -1
+            lost = t[self.top[t] == free]
+            self.top[lost] = self.room[lost].max(axis=1)
+        elif self.side[i] == 2:
+            self.below[t + free] -= 1
+        if side == 1 and free:
+            self.room[t, i] = free
+            self.top[t] = np.maximum(self.top[t], free)
+        elif side == 2:
+            self.below[t + free] += 1
+        self.side[i] = side
+
+    def _face(self, victim: int) -> None:
+        """Put every bin on its side of ``victim``."""
+        fill = self.fill[self.under]
+        want = np.where((fill == 0) | (fill == self.size), 0, np.where(fill >= self.fill[victim], 1, 2))
+        want[self.place[victim]] = 0
+        for i in np.flatnonzero(want != self.side).tolist():
+            self._side(int(self.under[i]), int(want[i]))
+
+    def _swap(self, victim: int, give: int, other: int, take: int) -> None:
+        """Pieces of sum ``give`` go to ``other``, pieces of sum ``take`` come back."""
+        out, back = self._pieces(victim, give), self._pieces(other, take)
+        self.total -= int(self.fill[victim]) ** 2 + int(self.fill[other]) ** 2
+        self._side(other, 0)
+        for b in (victim, other):
+            self.has[self.sums[b], self.place[b]] = False
+        self.items[victim] = [i for i in self.items[victim] if i not in out] + back
+        self.items[other] = [i for i in self.items[other] if i not in back] + out
+        self.bin[out], self.bin[back] = other, victim
+        self.fill[victim] -= give - take
+        self.fill[other] += give - take
+        for b in (victim, other):
+            self.sums[b] = self._sums(b) if self.fill[b] < self.size else np.zeros(1, np.int64)
+            self.has[self.sums[b], self.place[b]] = True
+        self.total += int(self.fill[victim]) ** 2 + int(self.fill[other]) ** 2
+        self.squares.append(self.total)
+
+    def _exchange(self, victim: int) -> int:
+        """The exchange that shifts most tokens from ``victim`` into a bin at least as full, into the one it fills
+        best; else one with an emptier bin that ends fuller than ``victim`` was. The partner, or -1."""
+        self._face(victim)
+        g, own = self.sums[victim][1:], int(self.size - self.fill[victim])
+        # The least t that some bin has and that with its free space reaches g.
+        t = np.searchsorted(np.maximum.accumulate(np.arange(self.size) + self.top), g)
+        gain = np.where(t < g, g - t, 0)
+        k = int(np.argmax(gain)) if len(gain) else -1
+        if k >= 0 and gain[k] > 0:
+            give, take, free = int(g[k]), int(t[k]), self.room[t[k]]
+            fits = np.flatnonzero(free >= gain[k])
+            other = int(self.under[fits[np.argmin(free[fits])]])
+        else:
+            upto = np.concatenate([[0], np.cumsum(self.below)])
+            some = np.flatnonzero(upto[g + own] > upto[g])
+            if not len(some):
+                return -1
+            give = int(g[some[0]])
+            end = give + int(np.flatnonzero(self.below[give:give + own])[0])
+            at = np.flatnonzero(self.side == 2)
+            start = end - (self.size - self.fill[self.under[at]])
+            i = int(np.flatnonzero((start >= 0) & self.has[start, at])[0])
+            other, take = int(self.under[at[i]]), int(start[i])
+        self._swap(victim, give, other, take)
+        return other
+
+    def run(self, steps: int | None = None) -> np.ndarray:
+        """Empty bins until the count is the lower bound or no bin has an exchange that raises the sum of
+        squared fills. Each exchange raises it, so the search ends; ``steps`` can bound the exchanges for trials."""
+        need, used, done = -(-int(self.len.sum()) // self.size), np.count_nonzero(self.fill), 0
+        tried, raised = np.zeros(len(self.under), bool), False
+        while used > need and (steps is None or done < steps):
+            fill = self.fill[self.under]
+            open_bins = np.flatnonzero((fill > 0) & (fill < self.size) & ~tried)
+            if not len(open_bins):
+                if not raised:  # every bin has been a victim since the last change
+                    break
+                tried[:], raised = False, False
+                continue
+            at = int(open_bins[np.argmin(fill[open_bins])])
+            victim, other = int(self.under[at]), 0
+            while self.fill[victim] and other >= 0 and (steps is None or done < steps):
+                other = self._exchange(victim)
+                if other >= 0:
+                    tried[self.place[other]], raised, done = False, True, done + 1
             if self.fill[victim]:
-                tried.add(victim)
+                tried[at] = True
+            else:
+                used -= 1
         return self.bin
 
 
-def pack_lengths(lengths: np.ndarray, size: int = SEQUENCE_TOKENS, steps: int = SEARCH_STEPS) -> np.ndarray:
+def pack_lengths(lengths: np.ndarray, size: int = SEQUENCE_TOKENS, steps: int | None = None) -> np.ndarray:
     """Bin numbers (from 0, gapless) for one group of lengths, none over ``size``."""
     lengths = np.asarray(lengths, np.int64)
     bins = _Search(lengths, best_fit_decreasing(lengths, size), size).run(steps)

@@ -36,6 +36,32 @@ def test_search_empties_bins_that_best_fit_leaves():
     assert s.squares == sorted(s.squares)
 
 
+def test_search_ends_only_where_no_exchange_raises():
+    """No two bins are left with an exchange of up to two pieces for up to two that raises the sum of squared fills."""
+    rng = np.random.default_rng(4)
+    for median in (18, 25, 40):
+        x = np.clip(rng.lognormal(np.log(median), 0.4, 700).astype(int), 1, 99)
+        s = packing._Search(x, packing.best_fit_decreasing(x, 100), 100)
+        bins = s.run()
+        fill = np.bincount(bins, weights=x).astype(int)
+        assert (s.squares == sorted(set(s.squares))) and fill.max() <= 100
+        if np.count_nonzero(fill) == -(-x.sum() // 100):
+            continue
+        open_bins = [b for b in np.flatnonzero((fill > 0) & (fill < 100))]
+        sums = {b: {0} | {a for a in x[bins == b]} | {a + c for i, a in enumerate(x[bins == b]) for c in x[bins == b][:i]} for b in open_bins}
+        for a in open_bins:
+            for b in open_bins:
+                gains = [g - t for g in sums[a] for t in sums[b]] if a != b else []
+                assert not any(n > 0 and fill[b] + n <= 100 and fill[b] + n > fill[a] for n in gains)
+
+
+def test_search_reaches_the_bound_on_mid_length_pieces():
+    rng = np.random.default_rng(1)
+    x = np.clip(rng.lognormal(np.log(1000), 0.4, 2000).astype(int), 1, 4095)
+    bins = packing.pack_lengths(x)
+    assert bins.max() + 1 <= -(-x.sum() // 4096) + 1
+
+
 @pytest.mark.parametrize("groups", [1, 7])
 def test_places_are_whole_and_gapless(docs_of, groups):
     rows = [(i, t) for i, t in enumerate(EDGES)] + [(99, "word " * 9000), (99, "word " * 9000), (None, "x y")]
