@@ -11,7 +11,8 @@ extension. In an interval the left extensions are sorted and scanned in the same
 left neighbours differ cannot be extended to the left, and if its right extension ends at the interval's
 depth, it is a maximal repeat, given with all its occurrences. Anchors with very many different
 spans (text around a boilerplate line) are not brought together: their strings of ``length`` bytes
-meet by digest, packed and dealt over buckets.
+meet by digest, packed and dealt over buckets; where groups are asked for, aggregates over hashes of
+their strings give the same maximal repeats.
 
 Matches never cross documents, and one document may repeat itself. A repeat found around an anchor
 reaches as far as the spans of that anchor do; the union over anchors covers exactly the bytes
@@ -249,6 +250,75 @@ def _crowded(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(meet, _FOUND_DDL)
 
 
+_PLACE_DDL = "key long, digest long, e int, r int, h long, left int, right int"
+
+
+def _places(raw: bytes, anchor: int, e: np.ndarray, r: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the bytes from ``e`` before the anchor to ``r`` after it, and the bytes on both sides (-1: the span ends)."""
+    text = np.frombuffer(raw, np.uint8).astype(np.int32)
+    a, b = anchor - e, anchor + r
+    edged = np.concatenate([[-1], text, [-1]])
+    return span_hash(prefix, a, b).view(np.int64), edged[a], edged[b + 1]
+
+
+def _place_batch(keys, digests, rows: list) -> pa.RecordBatch:
+    own = np.repeat(np.arange(len(rows)), [len(x[0]) for x in rows])
+    cols = [np.concatenate(c) if rows else np.empty(0, np.int64) for c in (zip(*rows) if rows else [[]] * 5)]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+    return pa.record_batch([keys.take(pa.array(own)), digests.take(pa.array(own)), *[pa.array(c.astype(np.int64)).cast(k) for c, k in zip(cols, kinds)]],
+                           names=["key", "digest", "e", "r", "h", "left", "right"])
+
+
+_PLACE = ["key", "e", "r", "h"]
+
+
+def _open_ends(places: DataFrame) -> DataFrame:
+    """(key, e, r, h, left_open, right_open) of strings that several spans have: whether their neighbours
+    on that side differ, or a span ends there."""
+    differs = lambda c: ((F.min(c) != F.max(c)) | (F.min(c) < 0))
+    return (places.groupBy(*_PLACE).agg(F.count("*").alias("n"), differs("left").alias("left_open"), differs("right").alias("right_open"))
+            .filter("n > 1").drop("n"))
+
+
+def _crowded_groups(rows: DataFrame, length: int) -> DataFrame:
+    """Maximal repeats with all occurrences for anchors with very many spans, by aggregates only.
+
+    The strings of ``length`` bytes that meet say where a repeat may end: it starts where such a string's
+    left neighbours differ and stops where one's right neighbours do. Of each span, the strings between
+    such ends meet again; those whose neighbours differ on both sides are the maximal repeats.
+    """
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for raw, anchor in zip(batch.column("raw").to_pylist(), batch.column("anchor").to_pylist()):
+                e = anchor - np.arange(len(raw) - length + 1)
+                prefix = prefix_hash(np.frombuffer(raw, np.uint8))
+                rows.append((e, length - e, *_places(raw, anchor, e, length - e, prefix)))
+            yield _place_batch(batch.column("key"), batch.column("digest"), rows)
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, digest, raw, anchor, starts, stops = (batch.column(c)[i].as_py() for c in ("key", "digest", "raw", "anchor", "starts", "stops"))
+                e, r = (x.ravel() for x in np.meshgrid(np.array(starts, np.int64), np.array(stops, np.int64)))
+                e, r = e[e + r >= length], r[e + r >= length]
+                if len(e):
+                    found = _places(raw, anchor, e, r, prefix_hash(np.frombuffer(raw, np.uint8)))
+                    yield _place_batch(pa.array([key], pa.int64()), pa.array([digest], pa.int64()), [(e, r, *found)])
+
+    rows = rows.select("key", "digest", "raw", "anchor")
+    seen = rows.mapInArrow(windows, _PLACE_DDL)
+    ends = cut(_open_ends(seen).filter("left_open or right_open"))
+    ends = (seen.join(ends, _PLACE).groupBy("key", "digest")
+            .agg(F.collect_set(F.when(F.col("left_open"), F.col("e"))).alias("starts"), F.collect_set(F.when(F.col("right_open"), F.col("r"))).alias("stops"))
+            .filter("size(starts) > 0 and size(stops) > 0"))
+    strings = cut(rows.join(cut(ends), ["key", "digest"]).mapInArrow(between, _PLACE_DDL))
+    repeats = cut(_open_ends(strings).filter("left_open and right_open").drop("left_open", "right_open"))
+    return (strings.join(repeats, _PLACE).join(rows.select("key", "digest", "anchor"), ["key", "digest"])
+            .select("key", "digest", F.xxhash64("e", "r", "h").alias("repeat"), (F.col("anchor") - F.col("e")).alias("first"), (F.col("anchor") + F.col("r")).alias("stop")))
+
+
 def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
 
@@ -257,8 +327,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_
                    groups: bool = False) -> DataFrame:
     """(doc_id, mark, first, stop) of what repeats, a row a span; overlapping, not merged.
 
-    ``docs`` comes from ``marked``. With ``groups``: also key and repeat, which together number a
-    maximal repeat (repeat is null where all of an equal span repeats).
+    ``docs`` comes from ``marked``. With ``groups``: a row an occurrence, also key, whole and repeat, which
+    together number a repeat that is maximal within the spans of its anchor: ``whole`` is the digest where spans
+    repeat as a whole and no other span has all their bytes, else null; ``repeat`` numbers the others.
     """
     spark = docs.sparkSession
     path = shared_folder(spark, "repeat-spans")
@@ -288,15 +359,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, max_
     few = max(1, -(-n["few"] // BUCKET_SPANS))
     found = (fetched.filter("not crowded").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(few)))
              .groupBy("bucket").applyInArrow(lambda t: _scan(t, length, groups), _FOUND_DDL))
+    if groups:
+        found = found.withColumn("repeat", F.col("repeat").cast("long"))
     if n["many"]:
-        found = found.unionByName(_crowded(fetched.filter("crowded"), length, max(8, n["many"] // BUCKET_SPANS)))
+        many = fetched.filter("crowded")
+        found = found.unionByName(_crowded_groups(many, length) if groups else _crowded(many, length, max(8, n["many"] // BUCKET_SPANS)))
     if not groups:
         # Buckets of crowded anchors may each know a part of a span's reach.
         found = cut(found.groupBy("key", "digest").agg(F.min("first").alias("first"), F.max("stop").alias("stop")))
-    more = ["key", "repeat"] if groups else []
+    else:
+        found = cut(found)
+        # A whole span that lies in other spans too is among the repeats found, with all occurrences.
+        full = found.join(kinds.select("key", "digest", "one.size"), ["key", "digest"]).filter("first = 0 and stop = size")
+        whole = whole.join(full.select("key", "digest").distinct(), ["key", "digest"], "left_anti")
+    more = ["key", "whole", "repeat"] if groups else []
     out = ["doc_id", "mark", "first", "stop", *more]
-    a = shared.join(whole, ["key", "digest"]).select("doc_id", "mark", F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("stop"), "key", F.lit(None).cast("int").alias("repeat"))
-    b = shared.drop("mixed").join(found, ["key", "digest"]).withColumns({"first": F.col("start") + F.col("first"), "stop": F.col("start") + F.col("stop")})
+    none = F.lit(None).cast("long")
+    a = shared.join(whole, ["key", "digest"]).select("doc_id", "mark", F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("stop"),
+                                                     "key", F.col("digest").alias("whole"), none.alias("repeat"))
+    b = shared.drop("mixed").join(found, ["key", "digest"]).withColumns({"first": F.col("start") + F.col("first"), "stop": F.col("start") + F.col("stop"), "whole": none})
     return a.select(out).unionByName(b.select(out))
 
 

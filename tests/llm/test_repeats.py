@@ -46,6 +46,37 @@ def test_against_brute_force(docs_of, seed, group):
     assert sorted(str(tuple(r)) for r in got) == brute(rows, 40)
 
 
+def groups_of(docs, max_group):
+    got = {}
+    for r in repeats.repeated_spans(repeats.marked(docs), 40, 9, max_group, groups=True).collect():
+        got.setdefault((r["key"], r["whole"], r["repeat"]), []).append((r["doc_id"], r["mark"], r["first"], r["stop"]))
+    return got
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_groups_do_not_depend_on_crowding(docs_of, seed):
+    rows = [r for r in corpus(seed) if r[0] is not None]
+    docs = docs_of(rows)
+    text = {(r["doc_id"], r["mark"]): (r["text"] or "").encode() for r in repeats.marked(docs).collect()}
+    few, many = (groups_of(docs, n) for n in (1024, 2))
+    assert sorted(map(sorted, few.values())) == sorted(map(sorted, many.values())) and len(many) > 20
+    for found in many.values():
+        strings = {text[d, m][a:b] for d, m, a, b in found}
+        assert len(found) > 1 and len(strings) == 1 and len(strings.pop()) >= 40
+
+
+def test_equal_spans_of_one_anchor_are_groups_of_their_own(docs_of):
+    rng = random.Random(9)
+    text = lambda k: "".join(rng.choices("abcdefgh", k=k))
+    line, x, y = text(20), text(30), text(30)
+    # The same line with x five times and with y seven times; 20 bytes alone do not repeat.
+    rows = [(i, x + line + x) for i in range(5)] + [(i, y + line + y) for i in range(5, 12)]
+    for max_group in (1, 1024):
+        got = groups_of(docs_of(rows), max_group)
+        assert {len({o[0] for o in found}) for found in got.values()} == {5, 7}
+        assert len({key for key, _, _ in got}) < len(got)
+
+
 def test_long_texts_in_segments(docs_of, monkeypatch):
     monkeypatch.setattr(repeats, "SEGMENT", 500)
     rng = random.Random(7)
