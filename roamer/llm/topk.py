@@ -13,9 +13,12 @@ Query blocks meet index blocks by a join on block numbers; a pair of blocks is o
 result k rows a query, and one ranked window merges them. The queries are a stated set (ids divisible
 by 100), never a sample.
 
+Block pairs whose sums of products could leave 64 bits are bounded in floating point instead, and what
+may be among the best is scored with Python's integers.
+
 Defined results: components are floor(1024 * x) of x as a double; null vectors and vectors with null
-or non-finite components take no part, nor do rows without an id or with a component whose product
-sums could leave 64 bits; only vectors of a query's own
+or non-finite components take no part, nor do rows without an id or with a component that is no 64-bit
+integer; a score among the k best that is none raises an error; only vectors of a query's own
 length answer it; a query's own row is no answer, other rows with its id neither; repeated rows answer
 each; fewer than k candidates give all; an empty table gives no rows; other columns are ignored.
 """
@@ -32,8 +35,6 @@ from pyspark.sql import functions as F
 from roamer.llm.common import cut, register, table
 
 SCALE = 1024
-#: Scaled components beyond this could leave 64 bits in a sum of products.
-LIMIT = 1 << 28
 TOP = 10
 QUERY_STEP = 100
 BLOCK_ROWS = 8192
@@ -137,6 +138,28 @@ def at_least(slices: list[np.ndarray], rows: np.ndarray, bound: np.ndarray) -> n
     return out
 
 
+def fits(rows: np.ndarray, queries: np.ndarray) -> bool:
+    """Whether scores, and the bounds of what is cut off them, stay in 64 bits."""
+    most = lambda a: max(1, int(a.max(initial=0)), -int(a.min(initial=0)))
+    return 4 * most(rows) * most(queries) * rows.shape[1] < 1 << 63
+
+
+def search_large(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
+    """``search_block`` for components whose products may leave 64 bits; scores are Python's integers."""
+    d = rows.shape[1]
+    x, y = rows.astype(np.float64), queries.astype(np.float64)
+    about, error = y @ x.T, (np.abs(y) @ np.abs(x).T) * ((d + 4) * 2.0 ** -52)
+    out = []
+    for i, asked in enumerate(queries.tolist()):
+        others = np.flatnonzero(ids != query_ids[i])
+        least = (about[i] - error[i])[others]
+        if len(others) > k:
+            others = others[(about[i] + error[i])[others] >= np.partition(least, len(least) - k)[len(least) - k]]
+        scored = [(sum(a * b for a, b in zip(asked, rows[r].tolist())), r) for r in others.tolist()]
+        out += [(i, r, s) for s, r in sorted(scored, key=lambda t: (-t[0], ids[t[1]]))[:k]]
+    return tuple(map(list, zip(*out))) if out else ([], [], [])
+
+
 def search_block(ids: np.ndarray, rows: np.ndarray, index: np.ndarray, shift: int, low: np.ndarray,
                  query_ids: np.ndarray, queries: np.ndarray, k: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, row number, score) of what may be among each query's k best of the block."""
@@ -174,8 +197,9 @@ def search_block(ids: np.ndarray, rows: np.ndarray, index: np.ndarray, shift: in
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, x): integer components of the vectors that take part."""
     x = F.col(vector_col).cast("array<double>")
+    is_long = f"{SCALE} * v >= -{2**63}D and {SCALE} * v < {2**63}D"
     whole = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).filter(
-        f"id is not null and x is not null and not exists(x, v -> v is null or isnan(v) or abs(v) * {SCALE} > {LIMIT})")
+        f"id is not null and x is not null and not exists(x, v -> v is null or not ({is_long}))")
     return whole.select("id", F.expr(f"transform(x, v -> cast(floor({SCALE} * v) as bigint))").alias("x"))
 
 
@@ -220,15 +244,25 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = TOP, per_block: int = B
                 get = lambda c: np.frombuffer(row[c], "<i8")
                 d, ids, q_ids = row["dim"], get("ids"), get("q_ids")
                 slices = np.frombuffer(row["slices"], "<u8").reshape(d, bits, -1) if d else np.zeros((0, bits, -(-len(ids) // 64)), "<u8")
-                q, r, score = search_block(ids, get("raw").reshape(len(ids), d), slices, row["shift"], get("low"), q_ids, get("q_raw").reshape(len(q_ids), d), k, bits)
-                yield pa.record_batch([pa.array(q_ids[q]), pa.array(ids[r]), pa.array(score)], names=["query_id", "vec_id", "score"])
+                raw, q_raw = get("raw").reshape(len(ids), d), get("q_raw").reshape(len(q_ids), d)
+                if fits(raw, q_raw):
+                    q, r, score = search_block(ids, raw, slices, row["shift"], get("low"), q_ids, q_raw, k, bits)
+                else:
+                    q, r, score = search_large(ids, raw, q_ids, q_raw, k)
+                    if max(score, default=0) >= 1 << 63:
+                        raise OverflowError("a score among the best is no 64-bit integer")
+                    # Below 64 bits: null, ranked last, and an error only where it is among the best.
+                    q, r = np.array(q, np.int64), np.array(r, np.int64)
+                    score = [s if s >= -1 << 63 else None for s in score]
+                yield pa.record_batch([pa.array(q_ids[q]), pa.array(ids[r]), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
 
     # A row is a block pair; each gets a task of its own.
     pairs = asked.join(index, "dim")
     parts = max(1, n * index.count())
     found = pairs.withColumn("pair", F.xxhash64("q_ids", "block")).repartition(min(parts, 10_000), "pair").drop("pair").mapInArrow(search, "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)").cast("int"))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    score = F.coalesce("score", F.raise_error(F.lit("a score among the best is no 64-bit integer")).cast("long"))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def _sql() -> str:

@@ -42,6 +42,30 @@ def test_against_brute_force(spark, monkeypatch):
     assert [r[1] for r in got if r[0] == 100] == list(range(1, 11))
 
 
+def test_large_components_take_part(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([1.0, 300.0, 5e5]) * rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    rows += [(100, [1e-3, -2e-3, 0.0, 1e-3]), (61, [1e7, 1.0, 2.0, 3.0]), (62, [-1e7, 1.0, 2.0, 3.0])]
+    v = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    data = {i: [math.floor(1024 * x) for x in e] for i, e in rows}
+    for k in (3, 80):
+        got = sorted(tuple(r) for r in topk.top_k(v.filter("id in (0, 100)"), topk.build_index(v, 20), k, 2).collect())
+        want = []
+        for i in (0, 100):
+            found = sorted((-sum(a * b for a, b in zip(data[i], y)), j) for j, y in data.items() if j != i)
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found[:k])]
+        assert got == sorted(want)
+
+
+def test_large_search_resolves_what_doubles_cannot():
+    rows = np.array([[2**40 + 1, 1], [2**40, 2**20], [2**40 + 1, 0], [-(2**40), 0]], np.int64)
+    asked = np.array([[2**21, 1]], np.int64)
+    assert not topk.fits(rows * 4096, asked)
+    q, r, score = topk.search_large(np.arange(4), rows * 4096, np.array([9]), asked, 3)
+    exact = [sum(int(a) * int(b) for a, b in zip(row, asked[0])) for row in rows * 4096]
+    assert r == sorted(range(4), key=lambda i: (-exact[i], i))[:3] and score == [exact[i] for i in r]
+
+
 def test_empty_table(spark):
     v = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding")
     assert topk.top_k(v, topk.build_index(v)).count() == 0
