@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamer.functions.numeric import col_of, half_even
+from roamer.functions.numeric import col_of, half_even, to_double
 
 # Built-in USD rates, currency symbols (reference order).
 FALLBACK_USD_RATES = {"USD": 1.0, "EUR": 0.88, "GBP": 0.75, "ILS": 3.45, "CAD": 1.37,
@@ -24,19 +24,32 @@ def fallback_rates(spark: SparkSession) -> DataFrame:
 
 
 def rates_or_fallback(quotes: DataFrame, spark: SparkSession) -> DataFrame:
-    """M1: USD=1 plus quoted rows; if any required code is missing or malformed, the
-    whole built-in table is used and flagged."""
-    q = quotes.select(F.col("code"), F.col("rate").try_cast("double").alias("rate")) \
-        .where(F.col("rate").isNotNull() & (F.col("code") != "USD"))
-    quoted = q.unionByName(spark.createDataFrame([("USD", 1.0)], "code string, rate double"))
-    required = fallback_rates(spark).select("code")
-    n_missing = required.join(quoted, "code", "left_anti").select(F.count(F.lit(1))).scalar()
-    fb = fallback_rates(spark)
-    use_fb = n_missing > 0
-    live = quoted.join(required, "code", "left_semi").select("code", "rate", F.lit(False).alias("is_fallback"))
-    chosen = live.where(~use_fb).unionByName(
-        fb.where(use_fb).select("code", "rate", F.lit(True).alias("is_fallback")))
-    return chosen
+    """M1: for every day of quotes (as_of, quote_id, code, rate as text), USD = 1 and the day's quotes; if any
+    built-in code is missing or malformed on a day, that day has the whole built-in table, flagged.
+
+    Of repeated quotes the last (by quote_id) counts, even where it is malformed.
+    """
+    codes = F.broadcast(fallback_rates(spark).select("code"))
+    last = quotes.groupBy("as_of", "code").agg(F.max_by("rate", "quote_id").alias("rate"))
+    # Text that is no number spoils its day; a code that is asked for by nobody does not.
+    last = last.select("as_of", "code", to_double("rate").alias("rate")).join(codes, "code", "left_semi").where((F.col("code") != "USD") & F.col("rate").isNotNull())
+    days = quotes.select("as_of").distinct()
+    whole = last.groupBy("as_of").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(FALLBACK_USD_RATES) - 1).select("as_of")
+    live = last.join(whole, "as_of", "left_semi").unionByName(whole.select("as_of", F.lit("USD").alias("code"), F.lit(1.0).alias("rate")))
+    missing = days.join(whole, "as_of", "left_anti").select("as_of", F.explode(_builtin_map()).alias("code", "rate"))
+    return live.withColumn("is_fallback", F.lit(False)).unionByName(missing.withColumn("is_fallback", F.lit(True)))
+
+
+def _builtin_map() -> Column:
+    return F.create_map(*[F.lit(x) for kv in FALLBACK_USD_RATES.items() for x in (kv[0], float(kv[1]))])
+
+
+def current_rates(quotes: DataFrame, spark: SparkSession) -> DataFrame:
+    """(code, rate, is_fallback) of the last day; without quotes the built-in table. At most one row a code."""
+    last = quotes.select(F.max("as_of")).scalar()
+    day = rates_or_fallback(quotes.where(F.col("as_of") == last), spark).select("code", "rate", "is_fallback")
+    none = fallback_rates(spark).where(last.isNull()).withColumn("is_fallback", F.lit(True))
+    return day.unionByName(none)
 
 
 def from_usd(amount, rate) -> Column:
@@ -56,12 +69,17 @@ def format_money(amount, code) -> Column:
     return F.concat(F.element_at(symbols, c), text)
 
 
-def budget_bounds(rate) -> list[Column]:
-    """M5: slider bounds in the display currency (half-even rounding)."""
+def budget_limits(rate) -> list[Column]:
+    """Least and largest daily budget in the display currency, and its step (half-even rounding)."""
     r = col_of(rate)
     lo = F.greatest(F.lit(1.0), half_even(40 * r))
-    hi = F.greatest(lo + 1, half_even(300 * r))
-    step = F.greatest(F.lit(1.0), half_even(5 * r))
-    default = F.least(hi, F.greatest(lo, half_even(120 * r)))
+    return [lo, F.greatest(lo + 1, half_even(300 * r)), F.greatest(F.lit(1.0), half_even(5 * r))]
+
+
+def budget_bounds(rate, saved=None) -> list[Column]:
+    """M5: slider bounds in the display currency; the saved budget, or 120 USD without one, lies within them."""
+    r = col_of(rate)
+    lo, hi, step = budget_limits(r)
+    start = half_even(120 * r) if saved is None else F.coalesce(col_of(saved), half_even(120 * r))
     return [lo.alias("min_budget"), hi.alias("max_budget"), step.alias("budget_step"),
-            default.alias("default_budget")]
+            F.least(hi, F.greatest(lo, start)).alias("default_budget")]

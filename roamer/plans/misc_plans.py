@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from roamer.functions.numeric import half_even
 from roamer.operators.catalog import INTEREST_COLUMNS, strip_ws
+from roamer.operators import userstate as us
 from roamer.operators.labels import INTEREST_LABELS, REGION_LABELS, region_label
 from roamer.plans import matching_plans as mp
 from roamer.plans.registry import register
@@ -98,13 +99,13 @@ def q_validate_registrations(spark, sf):
     return v.select("request_id", "email", "display_name", "reason", F.col("reason").isNull().alias("accepted"))
 
 
-@register("unique_registrations", """
+@register("unique_registrations", f"""
 SELECT email, min(request_id) AS request_id, arg_min(display_name, request_id) AS display_name
-FROM reg_checked WHERE reason IS NULL GROUP BY email""", {**mp.CTES, **CTES_U})
+FROM reg_checked c WHERE reason IS NULL AND NOT EXISTS (SELECT 1 FROM accounts a WHERE {_EMAIL.replace('email', 'a.email')} = c.email) GROUP BY email""", {**mp.CTES, **CTES_U})
 def q_unique_registrations(spark, sf):
-    v = _validated(spark, sf).where(F.col("reason").isNull())
-    first = F.min_by(F.struct("request_id", "display_name"), F.col("request_id"))
-    return v.groupBy("email").agg(first.alias("f")).select("email", "f.request_id", "f.display_name")
+    """An address with an account is refused; of several requests the first is taken."""
+    v = _validated(spark, sf).where(F.col("reason").isNull()).select("request_id", "email", "display_name")
+    return us.new_accounts(v, tb.accounts(spark, sf)).select("email", "request_id", "display_name")
 
 
 @reg("forecast_summary", """

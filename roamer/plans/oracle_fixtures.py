@@ -91,18 +91,65 @@ VIEWS["registrations"] = """
   SELECT c_custkey AS request_id,
          CASE WHEN c_custkey % 37 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 'no-at-sign.com'
               WHEN c_custkey % 17 = 0 THEN 'a@nodot'
-              ELSE ' User' || CAST(c_custkey % 400 AS VARCHAR) || '@Example.COM ' END AS email,
+              ELSE ' User' || CAST(c_custkey // 4 AS VARCHAR) || '@Example.COM ' END AS email,
          CASE WHEN c_custkey % 43 <> 0 THEN CAST(5 + c_custkey % 10 AS INTEGER) END AS password_length,
          CASE WHEN c_custkey % 41 = 0 THEN NULL WHEN c_custkey % 29 = 0 THEN '   ' ELSE ' ' || c_name || ' ' END AS display_name
   FROM customer
 """
 
 VIEWS["history"] = """
-  SELECT o_orderkey AS id, o_custkey % 150 AS user_id, o_orderdate AS created_at,
+  SELECT o_orderkey AS id, o_custkey // 10 AS user_id, o_orderdate AS created_at,
          o_totalprice AS amount
   FROM orders
 """
 
+VIEWS["users"] = """
+  SELECT user_id, 'user' || user_id || '@example.com' AS email, 'Name ' || user_id AS display_name
+  FROM (SELECT DISTINCT c_custkey // 10 AS user_id FROM customer) WHERE user_id % 13 <> 0
+"""
+
+VIEWS["accounts"] = "SELECT ' USER' || (c_custkey // 4) || '@example.com' AS email FROM customer WHERE c_custkey % 9 = 0"
+
+VIEWS["deleted_users"] = "SELECT DISTINCT c_custkey // 10 AS user_id FROM customer WHERE (c_custkey // 10) % 17 = 0"
+
+VIEWS["preference_saves"] = """
+  SELECT o_orderkey AS save_id, o_custkey // 10 AS user_id, o_orderdate AS saved_at,
+         '{"region": "' || (['ASIA', 'EUROPE', 'anywhere'])[CAST(o_orderkey % 3 AS INTEGER) + 1] || '", "budget_display": ' || (40 + o_orderkey % 261)
+         || ', "preferred_temp": ' || (o_orderkey % 36) || ', "beach": ' || (o_orderkey % 11) || ', "culture": ' || (o_orderkey * 3 % 11) || '}' AS preferences_json
+  FROM orders
+"""
+
+_NUMBERS = " || ', ' || ".join(f"""'"{n}": ' || {n}""" for n in ["culture", "nature", "nightlife", "food", "adventure", "relaxation", "safety", "popularity"])
+VIEWS["saved_preferences"] = f"""
+  SELECT c AS profile_id,
+         '{{"region": "' || region || '", "country": "' || country || '"'
+         || CASE WHEN c % 59 = 0 THEN '' ELSE ', "start_date": ' || CASE WHEN c % 23 = 0 THEN '"soon"' WHEN c % 41 = 0 THEN '"2030-01-01"' WHEN c % 53 = 0 THEN 'null' ELSE '"' || start_date || '"' END END
+         || CASE WHEN c % 61 = 0 THEN '' ELSE ', "end_date": ' || CASE WHEN c % 31 = 0 THEN '"2026-13-45"' WHEN c % 43 = 0 THEN '"2031-01-01"' WHEN c % 47 = 0 THEN '"2026-01-01"' ELSE '"' || end_date || '"' END END
+         || ', "currency": "' || CASE WHEN c % 19 = 0 THEN 'XXX' ELSE currency END || '"'
+         || CASE WHEN c % 29 = 0 THEN '' ELSE ', "budget_display": ' || (c * 97 % 60000) END
+         || ', "method_label": "' || (['Balanced match', 'Similar travel profile', 'Closest destination matches', 'Unknown'])[CAST(c % 4 AS INTEGER) + 1] || '"'
+         || CASE WHEN c % 11 = 5 THEN '' ELSE ', "preferred_temp": ' || CAST(preferred_temp_c AS INTEGER) END
+         || CASE WHEN c % 7 = 3 THEN '' ELSE ', "beach": ' || beach END || ', ' || {_NUMBERS} || '}}' AS preferences_json
+  FROM (SELECT profile_id AS c, * FROM profiles)
+"""
+
+VIEWS["itineraries"] = """
+  SELECT o_orderkey AS id, o_custkey // 10 AS user_id, 'City ' || (o_orderkey % 64) AS city, 'Country ' || (o_orderkey % 25) AS country,
+         CAST(o_orderdate AS DATE) AS start_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INTEGER) AS end_date, o_orderdate AS created_at
+  FROM orders WHERE o_orderkey % 3 = 0
+"""
+
+VIEWS["delete_requests"] = """
+  SELECT o_orderkey AS id, o_custkey // 10 + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS user_id FROM orders WHERE o_orderkey % 5 = 0
+"""
+
+VIEWS["quotes"] = """
+  SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS as_of, o_orderkey AS quote_id,
+         (['USD','EUR','GBP','ILS','CAD','AUD','JPY','CHF'])[CAST(o_orderkey % 8 AS INTEGER) + 1] AS code,
+         CASE WHEN o_orderkey % 97 = 0 THEN 'n/a' ELSE format('{:.2f}', (50 + o_orderkey % 300) / 100.0) END AS rate
+  FROM orders
+"""
+
 VIEWS["daily_weather"] = """
   SELECT user_id AS place_id, CAST(ts AS DATE) AS day, max(value) AS high_c,
          min(value) AS low_c, round_even(sum(value) * 100, 0) / 100 AS precipitation_mm

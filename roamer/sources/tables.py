@@ -178,7 +178,7 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
     email = (F.when(c % 37 == 0, F.lit(None).cast("string")).when(c % 13 == 0, "no-at-sign.com")
              .when(c % 17 == 0, "a@nodot")
-             .otherwise(F.concat(F.lit(" User"), (c % 400).cast("string"), F.lit("@Example.COM "))))
+             .otherwise(F.concat(F.lit(" User"), F.expr("c_custkey div 4").cast("string"), F.lit("@Example.COM "))))
     name = F.when(c % 41 == 0, F.lit(None).cast("string")).when(c % 29 == 0, F.lit("   ")).otherwise(F.concat(F.lit(" "), F.col("c_name"), F.lit(" ")))
     return cust.select(
         c.alias("request_id"),
@@ -192,12 +192,84 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders")
     return orders.select(
         F.col("o_orderkey").alias("id"),
-        (F.col("o_custkey") % 150).alias("user_id"),
+        F.expr("o_custkey div 10").alias("user_id"),
         F.col("o_orderdate").cast("timestamp").alias("created_at"),
         F.col("o_totalprice").alias("amount"),
     )
 
 
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One user for ten customers; every 13th number is nobody's."""
+    cust = read_table(spark, sf_dir, "customer").select(F.expr("c_custkey div 10").alias("user_id")).distinct()
+    uid = F.col("user_id").cast("string")
+    return cust.where(F.col("user_id") % 13 != 0).select("user_id", F.concat(F.lit("user"), uid, F.lit("@example.com")).alias("email"), F.concat(F.lit("Name "), uid).alias("display_name"))
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses that have an account already, as typed."""
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey").where(F.col("c_custkey") % 9 == 0)
+    return cust.select(F.concat(F.lit(" USER"), F.expr("c_custkey div 4").cast("string"), F.lit("@example.com")).alias("email"))
+
+
+def deleted_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "customer").select(F.expr("c_custkey div 10").alias("user_id")).distinct().where(F.col("user_id") % 17 == 0)
+
+
+def preference_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved preferences as a log: one save an order."""
+    k = F.col("o_orderkey")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    region = F.element_at(F.array(F.lit("ASIA"), F.lit("EUROPE"), F.lit("anywhere")), (k % 3 + 1).cast("int"))
+    body = text('{"region": "', region, '", "budget_display": ', 40 + k % 261, ', "preferred_temp": ', k % 36,
+                ', "beach": ', k % 11, ', "culture": ', k * 3 % 11, "}")
+    return read_table(spark, sf_dir, "orders").select(
+        k.alias("save_id"), F.expr("o_custkey div 10").alias("user_id"), F.col("o_orderdate").cast("timestamp").alias("saved_at"), body.alias("preferences_json"))
+
+
+def saved_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored preferences of every profile, with unknown codes, unreadable and impossible dates, missing fields."""
+    p = profiles(spark, sf_dir)
+    c = F.col("profile_id")
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    start = (F.when(c % 23 == 0, F.lit('"soon"')).when(c % 41 == 0, F.lit('"2030-01-01"')).when(c % 53 == 0, F.lit("null"))
+             .otherwise(quoted(F.date_format("start_date", "yyyy-MM-dd"))))
+    end = (F.when(c % 31 == 0, F.lit('"2026-13-45"')).when(c % 43 == 0, F.lit('"2031-01-01"')).when(c % 47 == 0, F.lit('"2026-01-01"'))
+           .otherwise(quoted(F.date_format("end_date", "yyyy-MM-dd"))))
+    label = F.element_at(F.array(*[F.lit(x) for x in ("Balanced match", "Similar travel profile", "Closest destination matches", "Unknown")]), (c % 4 + 1).cast("int"))
+    fields = [("region", quoted(F.col("region")), None), ("country", quoted(F.col("country")), None), ("start_date", start, c % 59 == 0), ("end_date", end, c % 61 == 0),
+              ("currency", quoted(F.when(c % 19 == 0, "XXX").otherwise(F.col("currency"))), None), ("budget_display", (c * 97 % 60000).cast("string"), c % 29 == 0),
+              ("method_label", quoted(label), None), ("preferred_temp", F.col("preferred_temp_c").cast("int").cast("string"), c % 11 == 5)]
+    fields += [(n, F.col(n).cast("string"), c % 7 == 3 if n == "beach" else None) for n in PROFILE_INTERESTS]
+    parts = [F.when(~absent if absent is not None else F.lit(True), F.concat(F.lit(f'"{n}": '), v)) for n, v, absent in fields]
+    return p.select("profile_id", F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).alias("preferences_json"))
+
+
+def itineraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    o = read_table(spark, sf_dir, "orders").where(k % 3 == 0)
+    day = F.to_date("o_orderdate")
+    return o.select(k.alias("id"), F.expr("o_custkey div 10").alias("user_id"), F.concat(F.lit("City "), (k % 64).cast("string")).alias("city"),
+                    F.concat(F.lit("Country "), (k % 25).cast("string")).alias("country"), day.alias("start_date"),
+                    F.date_add(day, (k % 9).cast("int")).alias("end_date"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+
+
+def delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to delete itineraries; every other one names another user as the owner."""
+    k = F.col("o_orderkey")
+    o = read_table(spark, sf_dir, "orders").where(k % 5 == 0)
+    return o.select(k.alias("id"), (F.expr("o_custkey div 10") + F.when(k % 10 == 0, 1).otherwise(0)).alias("user_id"))
+
+
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate quotes of every month, some malformed, some codes missing in some months."""
+    k = F.col("o_orderkey")
+    cents = 50 + k % 300
+    rate = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return read_table(spark, sf_dir, "orders").select(
+        F.trunc("o_orderdate", "month").alias("as_of"), k.alias("quote_id"), F.element_at(F.array(*[F.lit(x) for x in CURRENCIES]), (k % 8 + 1).cast("int")).alias("code"),
+        F.when(k % 97 == 0, F.lit("n/a")).otherwise(rate).alias("rate"))
+
+
 def daily_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roamer.functions.numeric import half_even
     ev = read_table(spark, sf_dir, "events")
