@@ -38,4 +38,5 @@ def load_all() -> None:
         misc_plans,
         currency_plans,
         scope_plans,
+        index_plans,
     )
