@@ -39,4 +39,5 @@ def load_all() -> None:
         currency_plans,
         scope_plans,
         index_plans,
+        stream_plans,
     )
