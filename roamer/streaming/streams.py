@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from roamer.operators.index import index_rows
 from roamer.operators.userstate import ADD, REMOVE
+from roamer.session import ensure_checkpoint_dir
 from roamer.sources.versioned import KeyedTable
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,8 +31,16 @@ def files(spark: SparkSession, folder: str, schema: StructType, per_batch: int =
 
 
 def drain(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> None:
-    """Run a stream over all there is, from where its checkpoint left off."""
-    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over all there is, from where its checkpoint left off.
+
+    A batch is worked out once and whole, also where ``write`` has taken it before: its state is committed with it.
+    """
+    ensure_checkpoint_dir(stream.sparkSession)
+
+    def take(rows: DataFrame, n: int) -> None:
+        write(rows.checkpoint(eager=True), n)
+
+    query = stream.writeStream.foreachBatch(take).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
