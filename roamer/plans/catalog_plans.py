@@ -250,7 +250,7 @@ SELECT ordinal AS item_id, {r6("coalesce(avg_temp_c, (SELECT median(avg_temp_c)
 FROM c_main_p""")
 def q_fill_temp_median(spark, sf):
     p = cat.prepare(normalized_main(spark, sf))
-    med = p.select(F.median("avg_temp_c")).scalar()
+    med = F.lit(cat.exact_medians(p, ["avg_temp_c"])["avg_temp_c"])
     return p.select(F.col("ordinal").alias("item_id"), boundary(F.coalesce("avg_temp_c", med)).alias("avg_temp_c"))
 
 
@@ -259,7 +259,7 @@ SELECT ordinal AS item_id, {", ".join(r6(f"coalesce({m}, avg_temp_c, (SELECT med
 FROM c_main_p""")
 def q_fill_months(spark, sf):
     p = cat.prepare(normalized_main(spark, sf))
-    temp = F.coalesce("avg_temp_c", p.select(F.median("avg_temp_c")).scalar())
+    temp = F.coalesce("avg_temp_c", F.lit(cat.exact_medians(p, ["avg_temp_c"])["avg_temp_c"]))
     return p.select(F.col("ordinal").alias("item_id"), *[boundary(F.coalesce(m, temp)).alias(m) for m in MONTHS])
 
 
@@ -268,8 +268,8 @@ SELECT ordinal AS item_id, {", ".join(r6(f"coalesce({c}, (SELECT median({c}) FRO
 FROM c_main_p""")
 def q_fill_features_median(spark, sf):
     p = cat.prepare(normalized_main(spark, sf))
-    return p.select(F.col("ordinal").alias("item_id"),
-                    *[boundary(F.coalesce(c, p.select(F.median(c)).scalar())).alias(c) for c in RATINGS])
+    medians = cat.exact_medians(p, RATINGS)
+    return p.select(F.col("ordinal").alias("item_id"), *[boundary(F.coalesce(c, F.lit(medians[c]))).alias(c) for c in RATINGS])
 
 
 def _impute_undeduped(spark, sf):

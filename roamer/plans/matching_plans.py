@@ -21,13 +21,22 @@ PFEAT = mt.PROFILE_FEATURE
 # ------------------------------------------------------------------ Spark side cache
 
 
+def _state(spark, sf):
+    """The files that the catalogue is built from, with their sizes and times of change."""
+    rows = []
+    for name in ("part", "nation", "region"):
+        meta = tb.read_table(spark, sf, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        rows += [tuple(r) for r in meta.collect()]
+    return tuple(sorted(rows))
+
+
 def catalog(spark, sf):
-    """The built catalogue, checkpointed once per (session, sf) so keys share it."""
-    key = ("built", sf)
+    """The built catalogue, kept for the session as long as its files stay as they are."""
     cache = getattr(spark, "_roamer_cache", None)
     if cache is None:
         cache = {}
         spark._roamer_cache = cache
+    key = ("built", sf, _state(spark, sf))
     if key not in cache:
         cache[key] = cp.built_catalog(spark, sf).checkpoint(eager=True)
     return cache[key]
