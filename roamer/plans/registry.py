@@ -40,4 +40,5 @@ def load_all() -> None:
         scope_plans,
         index_plans,
         stream_plans,
+        travel_plans,
     )

@@ -49,15 +49,15 @@ def q_filter_country(spark, sf):
 
 
 @reg("scoped_candidates", """
-SELECT p.profile_id, s.n AS n_candidates, s.first_city, s.last_city FROM profiles p
-JOIN (SELECT scope_region, scope_country, count(*) AS n, min(city) AS first_city, max(city) AS last_city FROM scope_items GROUP BY ALL) s
+SELECT p.profile_id, s.n AS n_candidates, s.digest FROM profiles p
+JOIN (SELECT scope_region, scope_country, count(*) AS n, bit_xor(('0x' || substr(md5(city || '|' || country), 1, 15))::BIGINT) AS digest FROM scope_items GROUP BY ALL) s
   ON s.scope_region = p.region AND s.scope_country = p.country""")
 def q_scoped_candidates(spark, sf):
-    """Per profile, its candidates counted once a scope."""
-    sets = _scope_items(spark, sf).groupBy("scope_region", "scope_country").agg(
-        F.count(F.lit(1)).alias("n_candidates"), F.min("city").alias("first_city"), F.max("city").alias("last_city"))
+    """Per profile, its candidates: their number, and a digest of them all whatever their order; found once a scope."""
+    one = F.conv(F.substring(F.md5(F.concat_ws("|", "city", "country")), 1, 15), 16, 10).cast("long")
+    sets = _scope_items(spark, sf).groupBy("scope_region", "scope_country").agg(F.count(F.lit(1)).alias("n_candidates"), F.bit_xor(one).alias("digest"))
     p = tb.profiles(spark, sf).select("profile_id", F.col("region").alias("scope_region"), F.col("country").alias("scope_country"))
-    return p.join(sets, ["scope_region", "scope_country"]).select("profile_id", "n_candidates", "first_city", "last_city")
+    return p.join(sets, ["scope_region", "scope_country"]).select("profile_id", "n_candidates", "digest")
 
 
 @reg("catalog_stats", """
