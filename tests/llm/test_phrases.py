@@ -59,9 +59,13 @@ def test_against_brute_force(spark, seed, bits):
     assert run(spark, rows, bits=bits) == sorted(want)
 
 
-def test_very_long_text_in_one_row(spark, monkeypatch):
-    monkeypatch.setattr(ph, "BATCH_WORDS", 100)
-    rows = [(1, " ".join(t for _, t, _ in corpus(5, 300)), "en"), *corpus(6, 40)]
+@pytest.mark.parametrize("limit", [40, 700])
+def test_very_long_text_in_one_row(spark, monkeypatch, limit):
+    monkeypatch.setattr(ph, "BATCH_BYTES", limit)
+    rows = [(1, " ".join(t for _, t, _ in corpus(5, 60)) + " no piece ends here for long" * 40, "en"), *corpus(6, 40)]
+    raw = np.frombuffer(rows[0][1].encode(), np.uint8)
+    cuts = [tuple(o) for o, _ in ph.parts_of(raw, np.array([0, len(raw)]), limit)]
+    assert len(cuts) > 3 and cuts[0][0] == 0 and cuts[-1][1] == len(raw) and all(a[1] == b[0] and ph._BREAK[raw[a[1] - 1]] for a, b in zip(cuts, cuts[1:]))
     assert run(spark, rows) == sorted(brute(rows, 6, 40))
 
 
@@ -71,17 +75,19 @@ def test_one_document_holds_all_of_a_phrase(spark):
 
 
 def test_a_shard_mines_all_that_reaches_its_share(spark):
-    rows = corpus(8, 200)
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    short = ph.shard_frequent(ph.prepared(df, 4).mapInArrow(ph.short_counts, "shard int, hash long, n long"), 20, 4)
-    got = {(r["shard"], r["hash"]) for r in short.collect()}
+    df = spark.createDataFrame(corpus(8, 200), "doc_id long, text string, lang string")
+    short = ph.shard_frequent(ph.prepared(df, 4).mapInArrow(ph.short_counts(4), ph._schema(4)), 20, 4, True)
+    got = {(s, r["hash"]) for r in short.collect() for s in range(4) if r[f"n{s}"] >= 5}
     want = Counter()
     for r in ph.prepared(df, 4).collect():
         b = r["text"].encode()
         w = ph.Words(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
         for n in (1, 2):
             want.update((r["shard"], int(h)) for h in w.phrases(n, ph.lang_hashes([r["lang"]]))[w.together(n)].view(np.int64))
-    assert got == {k for k, c in want.items() if c >= 5}
+    total = Counter()
+    for (_, h), c in want.items():
+        total[h] += c
+    assert got == {k for k, c in want.items() if c >= 5 and total[k[1]] >= 20}
 
 
 def test_empty_table(spark):
