@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -95,6 +96,22 @@ def small_batches(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> I
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system: allocators keep it for a next use that may never come,
+    and Spark's workers live from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of so many rows: the JVM holds one at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 #: Rows that Spark sends to Python at once; its own default of 10,000 long texts would be 100s of MB.
 ARROW_ROWS = 1000
 
