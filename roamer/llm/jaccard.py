@@ -14,8 +14,9 @@ enough prefix tokens are compared exactly. Members are held as differences to th
 overlap of two members follows from the leader's size and the two differences alone, so members that
 the leader does not link get their answers from their differences, and members that are connected
 already are not compared. Sets of frequent tokens' lists are compared once more in chunks of their
-longest list. Only sets that still lie outside the largest component of one of their
-lists are then compared with the others of those lists, counted by shared prefix tokens first. No
+longest list; those that still lie outside the largest component of their family (lists that overlap)
+are compared with the family in tiles, again by differences. Sets outside the largest component of a
+rare token's list are compared with the others of that list, counted by shared prefix tokens first. No
 list is turned into all its pairs, and every link between components is found. Of these pairs, parity
 sketches (four bits a token; differing bits bound the difference from below) drop those that cannot
 be links, each set is compared with its closest first, and only pairs still apart then are compared.
@@ -37,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamer.llm.common import cut, marked, near_ids, register, small_batches, split_ids, table, utf8_views
+from roamer.llm.common import cut, give_back, marked, near_ids, register, small_batches, split_ids, table, utf8_views
 from roamer.llm.components import components
 from roamer.llm.shingles import parity_sketch, set_key, shingle_sets, sketch_distance
 
@@ -63,6 +64,7 @@ def _sets(batches: Iterator[pa.RecordBatch]):
         for batch in small_batches(big, "text", 1 << 20):
             data, off, _ = utf8_views(batch.column("text"))
             yield batch, shingle_sets(np.frombuffer(data, np.uint8), off)
+    give_back()
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
@@ -336,13 +338,18 @@ def _answers(hub: bytes, nodes: list[bytes], sets: list[np.ndarray]) -> list[tup
     if not open_sets or len(rest) < 2:
         return links
     # Differences of all members as one list: which side, token, member. The side tells x - y from y - x.
-    flat = [np.concatenate([g[s] for g in sides]) if sides else x[:0] for s in (0, 1)]
+    flat = [np.unique(np.concatenate([g[s] for g in sides]), return_inverse=True)[1] for s in (0, 1)]
     owners = [np.repeat(np.arange(len(rest)), [len(g[s]) for g in sides]) for s in (0, 1)]
+    begin = [np.concatenate([[0], np.cumsum([len(g[s]) for g in sides])]) for s in (0, 1)]
+    marked_ = [np.zeros(int(f.max(initial=-1)) + 1, bool) for f in flat]
     missing, sizes = np.array([len(g[0]) for g in sides]), np.array(sizes)
     for i in open_sets:
         both = len(x) - missing[i] - missing
         for s in (0, 1):
-            both = both + np.bincount(owners[s][np.isin(flat[s], sides[i][s], kind="sort")], minlength=len(rest))
+            own = flat[s][begin[s][i]:begin[s][i + 1]]
+            marked_[s][own] = True
+            both = both + np.bincount(owners[s][marked_[s][flat[s]]], minlength=len(rest))
+            marked_[s][own] = False
         for j in np.flatnonzero(9 * both >= 4 * (sizes[i] + sizes)):
             if (a := find(i)) != (b := find(int(j))):
                 root[a] = b
@@ -433,26 +440,52 @@ def _neighbour_pairs(live: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _outside_pairs(live: DataFrame, labels: DataFrame) -> DataFrame:
-    """(hub, hn, node, n): sets outside the largest component of a list, with the list's sets of other
-    components, where they share enough prefix tokens."""
+    """(hub, hn, node, n): sets outside the largest component of a rare token's list, with the list's sets of
+    other components, where they share enough prefix tokens in such lists and may share any number of frequent ones."""
     named = live.select("bucket", "token", "node", "n", "pos").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rare = named.filter("bucket >= 0").groupBy("bucket").applyInArrow(_bucket_outside, "hub binary, node binary, hn int, n int, shared long")
-    # Lists of frequent tokens are joined, not gathered.
-    hot = named.filter("bucket < 0")
-    mixed = _mixed(hot)
-    lists = cut(hot.join(mixed, "token"))
-    few = lists.filter("label <> top").select("token", F.col("node").alias("hub"), F.col("label").alias("hl"), F.col("n").alias("hn"), F.col("pos").alias("hp"))
-    hits = few.join(lists, "token").filter("hl <> label").filter("label = top or hub < node").filter(_fits("n", "pos", "hn", "hp"))
-    # A pair may meet from either side, as either may be outside in some list.
-    pair = hits.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"),
-                       F.when(F.col("hub") < F.col("node"), F.col("hn")).otherwise(F.col("n")).alias("hn"),
-                       F.when(F.col("hub") < F.col("node"), F.col("n")).otherwise(F.col("hn")).alias("n"))
-    hot_pairs = pair.groupBy("hub", "node", "hn", "n").agg(F.count("*").alias("shared"))
-    way = F.col("hub") < F.col("node")
-    rare = rare.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"), F.when(way, F.col("hn")).otherwise(F.col("n")).alias("hn"),
-                       F.when(way, F.col("n")).otherwise(F.col("hn")).alias("n"), "shared")
-    both = rare.unionByName(hot_pairs).groupBy("hub", "node", "hn", "n").agg(F.sum("shared").alias("shared"))
-    return both.filter(_enough("shared", "n", "hn")).select("hub", "hn", "node", "n")
+    return rare.groupBy("hub", "node", "hn", "n").agg(F.sum("shared").alias("shared")).filter(_enough("shared", "n", "hn"))
+
+
+def _family_links(live: DataFrame, labels: DataFrame, docs: DataFrame, sig: DataFrame) -> DataFrame | None:
+    """Links among sets that meet in frequent tokens' lists and still lie in several components.
+
+    Sets of lists that overlap are a family: near copies of one text meet in many lists, and a join of the lists would
+    make each pair once a list. Instead a family's sets are dealt into tiles by component (its largest one, or outside of
+    it) and by size, and each tile of outsiders is compared whole with every tile of about its size, by differences to one
+    of them: a row a set and pair of tiles, whatever the number of pairs.
+    """
+    hot = live.filter("bucket < 0").select("token", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    hot = cut(hot.join(_mixed(hot).select("token"), "token"))
+    if hot.isEmpty():
+        return None
+    # Nodes have 16 bytes, tokens 8: one kind of name for both.
+    family = components(hot.select(F.col("node").alias("a"), F.unhex(F.lpad(F.hex("token"), 16, "0")).alias("b")))
+    nodes = hot.select("node", "n", "label").distinct().join(family.select("node", F.col("label").alias("family")), "node")
+    top = cut(nodes.groupBy("family", "label").agg(F.count("*").alias("c")).groupBy("family").agg(F.max(F.struct("c", "label")).alias("t")).select("family", F.col("t.label").alias("top")))
+    # Linked sets differ in size by a factor of 5/4 at most, so their bands are next to each other.
+    band = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")
+    placed = cut(nodes.join(top, "family").select("family", "node", "n", (F.col("label") != F.col("top")).alias("out"), band.alias("band")))
+    tiles = cut(placed.groupBy("family", "out", "band").agg((F.expr(f"count(*) div {CHUNK_SETS} + sum(n) div {CHUNK_SHINGLES}") + 1).alias("parts")))
+    number = F.xxhash64("family", "out", "band", "part")
+    each = tiles.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).select("family", "out", "band", number.alias("tile"))
+    near = each.select("family", "out", F.col("tile").alias("other"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    meet = each.filter("out").select("family", "band", "tile").join(near.withColumnRenamed("out", "o"), ["family", "band"]).filter("not o or tile <= other")
+    meet = cut(meet.select("tile", "other", F.xxhash64("tile", "other").alias("pair")))
+    members = placed.join(tiles, ["family", "out", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).select("node", number.alias("tile"))
+    sides = cut(meet.select("pair", "tile").union(meet.filter("tile <> other").select("pair", F.col("other").alias("tile"))))
+    rows = cut(members.join(sides, "tile").select("pair", "node"))
+    texts = _texts(docs, sig, rows.select("node"))
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        nodes = t.column("node").to_pylist()
+        one = list({k: i for i, k in enumerate(nodes)}.values())
+        data, off, _ = utf8_views(t.column("text").take(pa.array(one)))
+        names = [nodes[i] for i in one]
+        links = _answers(min(names), names, shingle_sets(np.frombuffer(data, np.uint8), off))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+    return rows.join(texts, "node").groupBy("pair").applyInArrow(run, "a binary, b binary")
 
 
 def _close_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -497,6 +530,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     links = cut(_compare(_leader_pairs(live), docs, sig))
     labels = cut(components(links))
     labels = cut(_merge(labels, _compare(_neighbour_pairs(live, labels), docs, sig)))
+    families = _family_links(live, labels, docs, sig)
+    if families is not None:
+        labels = cut(_merge(labels, cut(families)))
     sketches = first.filter("node is not null").select("node", "sketch")
     close = cut(_close_pairs(cut(_outside_pairs(live, labels)), sketches))
     # First every set with its closest; most of the rest is connected then and need not be compared.
