@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamer.llm.common import cut, id_text, register, small_batches, table, utf8_views
+from roamer.llm.common import cut, give_back, id_text, register, small_batches, table, utf8_views
 from roamer.llm.tokens import encoder, tokenizer_path
 
 SEQUENCE_TOKENS = 4096
@@ -47,8 +47,9 @@ def token_pieces(docs: DataFrame, path: str, size: int = SEQUENCE_TOKENS, end_id
                 data, off, _ = utf8_views(batch.column("text"))
                 keys = batch.column("doc_id")
                 row, piece, start, length, crc, raw = [], [], [], [], [], []
-                for i in range(batch.num_rows):
-                    ids = np.append(enc.encode(bytes(data[off[i]:off[i + 1]])), np.uint32(end_id)).astype("<u4")
+                flat, sizes = enc.encode_many(np.frombuffer(data, np.uint8), off)
+                for i, (a, n) in enumerate(zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist())):
+                    ids = np.append(flat[a:a + n], np.uint32(end_id)).astype("<u4")
                     for p, at in enumerate(range(0, len(ids), size)):
                         part = ids[at:at + size].tobytes()
                         row.append(i)
@@ -61,6 +62,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = SEQUENCE_TOKENS, end_id
                 cols = [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                         pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.record_batch(cols + ([pa.array(raw, pa.binary())] if with_ids else []), schema=schema)
+        give_back()
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     return id_text(docs).mapInArrow(run, ddl)

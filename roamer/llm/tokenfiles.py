@@ -172,9 +172,11 @@ def write_token_shards(docs: DataFrame, folder: str, path: str, end_id: int = EN
         for big in batches:
             for batch in small_batches(big, "text"):
                 data, off, _ = utf8_views(batch.column("text"))
-                for i, key in enumerate(batch.column("doc_id").to_pylist()):
+                flat, sizes = enc.encode_many(np.frombuffer(data, np.uint8), off)
+                flat = flat.astype(f"<u{width}")
+                for key, a, n in zip(batch.column("doc_id").to_pylist(), (np.cumsum(sizes) - sizes).tolist(), sizes.tolist()):
                     keys.append(key)
-                    ids.append(np.append(enc.encode(bytes(data[off[i]:off[i + 1]])), np.uint32(end_id)).astype(f"<u{width}"))
+                    ids.append(np.append(flat[a:a + n], flat.dtype.type(end_id)))
                     held += len(ids[-1]) * width
                     if held >= shard_size:
                         yield flush()
