@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamer.llm.common import cut, register, small_arrow_batches, small_batches, table, utf8_views
+from roamer.llm.common import give_back, cut, register, small_arrow_batches, small_batches, table, utf8_views
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -81,14 +81,17 @@ _COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_re
 def document_signals(docs: DataFrame, *keep: str) -> DataFrame:
     """The given columns and the six counts of every row's text."""
     names = [f"__k{i}" for i in range(len(keep))]
-    chosen = small_arrow_batches(docs).select(*[F.col(k).alias(n) for k, n in zip(keep, names)], F.col("text").cast("string").alias("text"))
+    text = names[keep.index("text")] if "text" in keep else "text"  # sent once
+    chosen = small_arrow_batches(docs).select(*[(F.col(f"`{k}`").cast("string") if k == "text" else F.col(f"`{k}`")).alias(n) for k, n in zip(keep, names)],
+                                              *([] if "text" in keep else [F.col("text").cast("string").alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for batch in small_batches(big, "text"):
-                data, off, _ = utf8_views(batch.column("text"))
+            for batch in small_batches(big, text):
+                data, off, _ = utf8_views(batch.column(text))
                 got = [text_signals(bytes(data[off[i]:off[i + 1]])) for i in range(batch.num_rows)]
                 yield pa.record_batch([batch.column(n) for n in names] + [pa.array(c, pa.int64()) for c in zip(*got)], names=[*names, *_COUNTS])
+        give_back()
 
     ddl = ", ".join([f"{n} {chosen.schema[n].dataType.simpleString()}" for n in names] + [f"{c} long" for c in _COUNTS])
     return chosen.mapInArrow(run, ddl).select(*[F.col(n).alias(k) for n, k in zip(names, keep)], *_COUNTS)
@@ -178,9 +181,11 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     documents' own columns, so that neither texts nor ids are joined.
     """
     bounds = cut(thresholds(sketches(document_signals(docs, "lang", "source"))))
-    carried = docs.select("text", "lang", "source", F.struct(*docs.columns).alias("__row"))
-    signals = document_signals(carried, "lang", "source", "__row")
-    return judge(signals, bounds).filter("kept").select("__row.*")
+    # Under names of their own, the documents' columns cannot clash with counts; text, lang and source keep theirs.
+    own = [c if c in ("text", "lang", "source") else f"__own{i}" for i, c in enumerate(docs.columns)]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own)])
+    judged = judge(document_signals(renamed, *own), bounds).filter("kept")
+    return judged.select(*[F.col(o).cast(docs.schema[c].dataType).alias(c) for c, o in zip(docs.columns, own)])
 
 
 def _sql() -> str:
