@@ -29,7 +29,7 @@ def _rows(df):
 
 
 def _same(sdf, duck, key):
-    spd = pd.DataFrame([r.asDict() for r in sdf.collect()], columns=sdf.columns)
+    spd = pd.DataFrame([r.asDict() for r in sdf.collect()], columns=sdf.columns, dtype=object)  # no floats for integers with nulls
     opd = duck.execute(entry.oracle_sql()[key]).df()
     opd = opd.astype(object).where(pd.notna(opd), None)
     assert sorted(spd.columns) == sorted(opd.columns)
