@@ -111,9 +111,8 @@ def q_hash_vector(spark, sf):
 @reg("sparse_topk", _ranked_sql("""(SELECT q.id AS qid, d.id AS doc_id, sum(q.weight * d.weight) AS similarity
    FROM q_hv q JOIN doc_hv d ON d.bucket = q.bucket GROUP BY ALL)"""))
 def q_sparse_topk(spark, sf):
-    qv = rv.hashed_vectors(_questions(spark, sf), "qid", "question")
-    dv = rv.hashed_vectors(_docs(spark, sf), "doc_id", "text")
-    return _hits_out(rv.sparse_topk(qv, dv))
+    rows = lambda df, key, text: rv.hashed_rows(df.select(F.col(key).alias("id"), text), text)
+    return _hits_out(rv.sparse_topk(rows(_questions(spark, sf), "qid", "question"), rows(_docs(spark, sf), "doc_id", "text")))
 
 
 @reg("tfidf_topk", _ranked_sql("tfidf_all"))
