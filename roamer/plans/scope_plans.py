@@ -81,8 +81,7 @@ def q_score_breakdown(spark, sf):
     p = mp.profiles(spark, sf)
     items = mt.dated_candidates(p, mp.catalog(spark, sf)).select(*mt.CTX_KEYS, *mt.ITEM_COLUMNS)
     prof, salts = mt.ranged_profiles(p, items)
-    prof = prof.drop(*[f"{x}_{c}" for x in ("min", "max") for c in cat.FEATURE_COLUMNS])
-    best = mt.top_n(mt._weighted(mt._pairs(prof, items, salts)))
+    best = mt.top_n(mt.weighted_pairs(prof, items, salts, mt.TOP))
     return best.select("profile_id", "rank", "city", "country", *[boundary(k).alias(k) for k in _FITS])
 
 
