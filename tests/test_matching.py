@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +60,53 @@ def test_best_matches_are_those_of_all_pairs(spark, monkeypatch, sizes):
         assert len(out(kept)) > 20
         if sizes[0] == 2048:  # one shard: no more than three pairs a profile
             assert kept.count() <= 3 * prof.count() < pairs.count()
+
+
+def _block(method, n_users=60, n_items=3000, seed=2):
+    """Profiles and items as a block of ``_best_pairs`` holds them, some of both with nulls, huge numbers or equal to others."""
+    rng = np.random.default_rng(seed)
+    items = {c: rng.integers(0, 11, n_items).astype(float) for c in mt.FEATURE_COLUMNS} | {"cost_per_day_usd": rng.uniform(40, 300, n_items)}
+    users = {f"u_{c}": rng.integers(0, 11, n_users).astype(float) for c in mt.FEATURE_COLUMNS} | {"u_cost_per_day_usd": rng.uniform(0, 300, n_users)}
+    users["u_cost_per_day_usd"][:2] = 0
+    for c in mt.FEATURE_COLUMNS:
+        items[c][:20] = items[c][20]
+        items[c][40:45] = items[c].min() + (0 if method == "cosine" else 1e12)
+        low, high = items[c][50:].min(), items[c][50:].max()
+        if method == "cosine":
+            low, high = np.minimum(low, users[f"u_{c}"]), np.maximum(high, users[f"u_{c}"])
+            users[f"lo_{c}"] = low
+        users[f"min_{c}"], users[f"rng_{c}"] = low + np.zeros(n_users), high - low + np.zeros(n_users)
+        users[f"b_{c}"] = (users[f"u_{c}"] - low) / (high - low)
+        if method == "cosine":
+            users[f"b_{c}"][3] = 0
+    users["b_norm"] = np.sqrt(sum(users[f"b_{c}"] ** 2 for c in mt.FEATURE_COLUMNS))
+    nulls = lambda t, at: pa.table({c: pa.array(x, mask=np.isin(np.arange(len(x)), at)) for c, x in t.items()})
+    return mt._Side(nulls(users, [5])), mt._Side(nulls(items, [30, 31])), n_users, n_items
+
+
+@pytest.mark.parametrize("method", ["weighted", "cosine", "knn"])
+@pytest.mark.parametrize("sizes", [(128, 1024, 1 << 19), (7, 64, 1 << 12), (50, 16, 1 << 12)])
+def test_rough_scores_leave_out_most_pairs_but_none_of_the_best(monkeypatch, method, sizes):
+    for name, size in zip(("HELD", "TILE", "PAIRS"), sizes):
+        monkeypatch.setattr(mt, name, size)
+    users, places, n_users, n_items = _block(method)
+    scores, rough = getattr(mt, f"_{method}_scores"), getattr(mt, f"_{method}_rough")
+
+    def best(pairs):
+        out, seen = {}, 0
+        for rows, cols in pairs:
+            seen += len(rows)
+            with np.errstate(all="ignore"):
+                x, missing = scores(users.at(rows), places.at(cols))
+            order = np.where(missing, np.inf, -np.where(np.isnan(x), np.inf, np.rint(x * 1e9) / 1e9))
+            for u in np.unique(rows):
+                mine = np.nonzero(rows == u)[0]
+                assert u not in out and len(np.unique(cols[mine])) == len(mine)
+                out[u] = [(order[i], cols[i]) for i in mine[np.lexsort((cols[mine], order[mine]))[:5]]]
+        return out, seen
+
+    with np.errstate(all="ignore"):
+        got, seen = best(mt._candidates(rough(users, places), n_users, n_items, 5))
+    want, every = best([(np.repeat(np.arange(n_users), n_items), np.tile(np.arange(n_items), n_users))])
+    assert got == want and every == n_users * n_items
+    assert seen < every / 8
