@@ -6,10 +6,10 @@ Sources are folders of Parquet files that Spark lists a few at a time. Results g
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -61,36 +61,37 @@ def preferences_stream(saves: DataFrame, table: KeyedTable, checkpoint: str) ->
 # ------------------------------------------------------------------ X2
 
 class Favourites(StatefulProcessor):
-    """State of a (user, item): the last remove and every add beyond it, by (time, event).
+    """State of a user: of each item the last remove and every add beyond it, by (time, event).
 
     A remove that arrives late may fall between adds that came before it, so all adds beyond the last
-    remove are kept; adds that a remove covers go from the state.
+    remove are kept; adds that a remove covers go from the state. The state is one value a user, read
+    and written once a batch, as each call to the state store costs more than the work on a few actions.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.removed = handle.getValueState("removed", "at long, id long")
-        self.adds = handle.getMapState("adds", "at long, id long", "seen boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = tuple(self.removed.get()) if self.removed.exists() else None
-        before = last
-        for part in rows:
-            for at, event, action in zip(part["at"], part["event_id"], part["action"]):
-                when = (int(at), int(event))
-                if action == REMOVE:
-                    last = when if last is None else max(last, when)
-                elif last is None or when > last:
-                    self.adds.updateValue(when, (True,))
-        if last is not None and last != before:
-            self.removed.update(last)
-        live = []
-        for when in [tuple(k) for k in self.adds.keys()]:
-            if last is not None and when <= last:
-                self.adds.removeKey(when)
-            else:
-                live.append(when)
-        first = pd.Series([min(live)[0] if live else None], dtype="Int64")
-        yield pd.DataFrame({"user_id": [key[0]], "item_id": pd.Series([key[1]], dtype="int32"), "at": first})
+        times = "array<struct<item_id: int, at: long, id: long>>"
+        self.items = handle.getValueState("items", f"removed {times}, adds {times}")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        removed, adds = self.items.get() if self.items.exists() else ((), ())
+        last = {item: (at, event) for item, at, event in removed}
+        live = defaultdict(set)
+        for item, at, event in adds:
+            live[item].add((at, event))
+        touched = set()
+        for row in rows:
+            when = int(row["at"]), int(row["event_id"])
+            item = row["item_id"]
+            touched.add(item)
+            if row["action"] != REMOVE:
+                live[item].add(when)
+            elif item not in last or when > last[item]:
+                last[item] = when
+        for item in touched & last.keys():
+            live[item] = {when for when in live[item] if when > last[item]}
+        self.items.update(([(item, *when) for item, when in last.items()], [(item, *when) for item, whens in live.items() for when in whens]))
+        for item in touched:
+            yield Row(user_id=key[0], item_id=item, at=min(live[item])[0] if live[item] else None)
 
     def close(self) -> None:
         pass
@@ -105,7 +106,7 @@ def favorites_stream(events: DataFrame, table: KeyedTable, checkpoint: str) -> N
     conf = events.sparkSession.conf
     conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     actions = events.where(F.col("action").isin(ADD, REMOVE) & F.col("user_id").isNotNull() & F.col("item_id").isNotNull())
-    state = actions.select("user_id", "item_id", F.unix_micros("ts").alias("at"), "event_id", "action").groupBy("user_id", "item_id").transformWithStateInPandas(
+    state = actions.select("user_id", "item_id", F.unix_micros("ts").alias("at"), "event_id", "action").groupBy("user_id").transformWithState(
         Favourites(), "user_id long, item_id int, at long", "Update", "None")
     state = state.select("user_id", "item_id", F.timestamp_micros("at").alias("created_at"))
     drain(state, lambda rows, n: table.merge(rows.withColumn("batch", F.lit(n).cast("long")), "favorites", n), checkpoint, "update")

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from roamer.operators import userstate as us
@@ -128,3 +129,41 @@ def test_favorites_add_is_a_state_machine_across_spans(spark):
     got = rows(us.favorites_add(spark.createDataFrame(data, EVENTS)).select("event_id", "inserted", "created_at"))
     at = lambda i: T0 + timedelta(hours=11 * i)
     assert got == [(0, True, at(0)), (1, False, at(0)), (3, True, at(3)), (6, True, at(6)), (7, False, at(6)), (51, True, T0), (52, True, T0)]
+
+
+class _Handle:
+    """A state store that counts its calls."""
+
+    def __init__(self):
+        self.kept, self.calls = None, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.kept is not None
+
+    def get(self):
+        self.calls += 1
+        return self.kept
+
+    def update(self, value):
+        self.calls += 1
+        self.kept = value
+
+
+def test_a_users_actions_cost_two_calls_of_the_state_store_a_batch():
+    rng = random.Random(4)
+    acts = [Row(user_id=7, item_id=rng.randrange(6), at=rng.randrange(50), event_id=i, action=rng.choice([us.ADD, us.ADD, us.REMOVE])) for i in range(200)]
+    store, work, got = _Handle(), st.Favourites(), {}
+    work.init(store)
+    for n, lo in enumerate(range(0, 200, 40)):
+        got.update({r["item_id"]: r["at"] for r in work.handleInputRows((7,), iter(acts[lo:lo + 40]), None)})
+        seen = acts[:lo + 40]
+        for item, at in got.items():
+            last = max(((r["at"], r["event_id"]) for r in seen if r["item_id"] == item and r["action"] == us.REMOVE), default=(-1, -1))
+            live = [r["at"] for r in seen if r["item_id"] == item and r["action"] == us.ADD and (r["at"], r["event_id"]) > last]
+            assert at == min(live, default=None)
+        assert store.calls <= 2 * (n + 1)
+    covered = {(i, at, e) for i, at, e in store.kept[1] for j, a, x in store.kept[0] if i == j and (at, e) < (a, x)}
+    assert len(got) == 6 and not covered
