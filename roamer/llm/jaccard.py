@@ -3,8 +3,9 @@
 Links are pairs of documents with 100 * intersection >= 80 * union. The join keeps to classes of equal
 sets, and skips work by relations between sets, on two levels.
 
-Index. Tokens are ordered: rare ones by hash, frequent ones (heavy hitters, a list of bounded size)
-last by count. Linked sets share a token of their prefixes, the first fifth. Prefix postings are dealt
+Index. Tokens are counted, and ordered: rare ones by hash, frequent ones (in LOCAL_HITS sets or more, a
+list of bounded size) last by count. So a rare token's list stays short, however large the table, and
+the pairs of all such lists grow with the input. Linked sets share a token of their prefixes, the first fifth. Prefix postings are dealt
 to buckets of the token space as packed arrays; in a bucket, an index list is sorted by position and
 cut into blocks, and blocks whose positions and sizes cannot meet the bound are skipped. Postings
 without a partner, most of them, end there.
@@ -42,9 +43,11 @@ from roamer.llm.common import cut, give_back, marked, near_ids, register, small_
 from roamer.llm.components import components
 from roamer.llm.shingles import parity_sketch, set_key, shingle_sets, sketch_distance
 
-#: Heavy hitters: seen this often in one task's share; at most so many are broadcast (16 bytes each).
-LOCAL_HITS = 8
-MAX_FREQUENT = 500_000
+#: Frequent tokens: in so many sets or more; at most so many are broadcast (16 bytes each), the most frequent ones.
+LOCAL_HITS = 16
+MAX_FREQUENT = 1_000_000
+#: Tokens that one task counts.
+COUNT_TOKENS = 2_000_000
 BUCKET_POSTINGS = 400_000
 #: Tokens that a task holds before it counts or packs them.
 HELD_TOKENS = 1_000_000
@@ -68,46 +71,90 @@ def _sets(batches: Iterator[pa.RecordBatch]):
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, n, node, sketch) a document, and (token, hits) for tokens that are frequent in a task's share."""
+    """(doc_id, mark, n, node, sketch) a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary()), ("token", pa.int64()), ("hits", pa.int64())])
-        seen, held, size, hits = set(), [], 0, {}
+        schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary())])
+        for batch, sets in _sets(batches):
+            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) or None for s in sets], pa.binary()),
+                                   pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary())], schema=schema)
 
-        def count() -> None:
-            if held:
-                t, c = np.unique(np.concatenate(held), return_counts=True)
-                for k, v in zip(t[c >= LOCAL_HITS].tolist(), c[c >= LOCAL_HITS].tolist()):
-                    hits[k] = hits.get(k, 0) + v
+    return docs.mapInArrow(run, "doc_id long, mark long, n long, node binary, sketch binary")
 
-        for batch, sets in _sets(batches):
-            keys = [set_key(s) for s in sets]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k or None for k in keys], pa.binary()),
-                                   pa.array([parity_sketch(s) if len(s) else None for s in sets], pa.binary()),
-                                   pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())], schema=schema)
-            for k, s in zip(keys, sets):
-                if k and k not in seen:
+
+def _counted(docs: DataFrame, bits: int) -> DataFrame:
+    """(code, hits) of the tokens in LOCAL_HITS sets or more. A code is a token's first 32 + ``bits`` bits, the
+    first ``bits`` of them its bucket; two tokens with one code, about 1 in 2,000, count together. Sets that
+    several tasks hold count in each: as counts only order tokens, no link depends on them."""
+    least = LOCAL_HITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        held, size = [], 0
+
+        def pack() -> pa.RecordBatch:
+            code, c = np.unique(np.concatenate(held) >> np.uint64(32 - bits), return_counts=True)
+            c = np.minimum(c, 65535).astype(np.uint16)
+            cuts = np.searchsorted(code, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
+            rows = [(k, code[x:y].astype(np.uint32).tobytes(), c[x:y].tobytes()) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+            return pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "codes", "hits"])
+
+        for _, sets in _sets(batches):
+            for s in sets:
+                if len(s) and (k := set_key(s)) not in seen:
                     seen.add(k)
                     held.append(s)
                     size += len(s)
-            if size > HELD_TOKENS:  # bounds memory; counts of the parts add up
-                count()
+            if size > HELD_TOKENS:
+                yield pack()
                 held, size = [], 0
-        count()
-        if hits:
-            n = len(hits)
-            yield pa.record_batch([*[pa.nulls(n, pa.int64())] * 3, *[pa.nulls(n, pa.binary())] * 2,
-                                   pa.array(np.fromiter(hits, np.uint64, n).view(np.int64)), pa.array(list(hits.values()), pa.int64())], schema=schema)
+        if held:
+            yield pack()
 
-    return docs.mapInArrow(run, "doc_id long, mark long, n long, node binary, sketch binary, token long, hits long")
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        code = np.concatenate([np.frombuffer(c, np.uint32) for c in t.column("codes").to_pylist()])
+        hits = np.concatenate([np.frombuffer(c, np.uint16) for c in t.column("hits").to_pylist()])
+        order = np.argsort(code)
+        code = code[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        total = np.add.reduceat(hits[order].astype(np.int64), first)
+        keep = total >= least
+        return pa.table({"code": pa.array(code[first][keep].astype(np.int64) + (key[0].as_py() << 32)), "hits": pa.array(total[keep])})
+
+    return docs.mapInArrow(run, "bucket int, codes binary, hits binary").groupBy("bucket").applyInArrow(add, "code long, hits long")
+
+
+def _frequent(docs: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted codes, their counts, bits) of frequent tokens: all in LOCAL_HITS sets or more, or the
+    MAX_FREQUENT most frequent."""
+    bits = min(24, max(4, (total // COUNT_TOKENS).bit_length()))
+    found = cut(_counted(docs, bits))
+    if found.count() > MAX_FREQUENT:
+        top = 1 << 16
+        room, least = MAX_FREQUENT, top
+        for h, c in sorted(found.groupBy(F.least("hits", F.lit(top)).alias("h")).count().collect(), reverse=True):
+            if (room := room - c) < 0:
+                break
+            least = h
+        found = found.filter(F.col("hits") >= least).limit(MAX_FREQUENT)
+    rows = found.toPandas()
+    codes = rows["code"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(codes)
+    return codes[order], rows["hits"].to_numpy(np.int64)[order], bits
+
+
+def _hot(tokens: np.ndarray, frequent: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens are frequent, and the place of each in the list."""
+    if not len(frequent):
+        return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+    code = tokens >> np.uint64(32 - bits)
+    at = np.minimum(np.searchsorted(frequent, code), len(frequent) - 1)
+    return frequent[at] == code, at
 
 
-def _ordered(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _ordered(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
     """The set's tokens, rare ones by hash, then frequent ones by count."""
-    if not len(frequent):
-        return tokens
-    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-    hot = frequent[at] == tokens
+    hot, at = _hot(tokens, frequent, bits)
     if not hot.any():
         return tokens
     order = np.lexsort((tokens[hot], counts[at[hot]]))
@@ -121,7 +168,7 @@ def _postings(docs: DataFrame, buckets: int, spread) -> DataFrame:
     """Packed rows (bucket, tokens, at, pos, nodes, sizes); frequent tokens come as rows of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = spread.value
+        frequent, counts, bits = spread.value
         seen: set[bytes] = set()
         held, size = [], 0
         schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("at", pa.binary()), ("pos", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary())])
@@ -134,8 +181,7 @@ def _postings(docs: DataFrame, buckets: int, spread) -> DataFrame:
             nodes = np.frombuffer(b"".join(k for k, _, _ in held), np.uint8).reshape(-1, 16)
             sizes = np.array([s for _, s, _ in held], np.int32)
             b = (tok % np.uint64(buckets)).astype(np.int32)
-            if len(frequent):
-                b[frequent[np.minimum(np.searchsorted(frequent, tok), len(frequent) - 1)] == tok] = -1
+            b[_hot(tok, frequent, bits)[0]] = -1
             order = np.lexsort((tok, b))
             tok, own, pos, b = tok[order], own[order], pos[order], b[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]])
@@ -149,7 +195,7 @@ def _postings(docs: DataFrame, buckets: int, spread) -> DataFrame:
             for s in sets:
                 if len(s) and (k := set_key(s)) not in seen:
                     seen.add(k)
-                    held.append((k, len(s), _ordered(s, frequent, counts)[:prefix_size(len(s))]))
+                    held.append((k, len(s), _ordered(s, frequent, counts, bits)[:prefix_size(len(s))]))
                     size += len(held[-1][2])
             if size > HELD_TOKENS:
                 yield pack()
@@ -518,14 +564,11 @@ def _classes(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, n, node, label) of every row: the mark is a hash of its text, node the key of its
     set, label that of its component (both null for a set without shingles)."""
     spark = docs.sparkSession
-    first = cut(_signatures(docs))
-    sig = first.filter("hits is null").select("doc_id", "mark", "n", "node")
+    sig = cut(_signatures(docs))
+    sketches = sig.filter("node is not null").select("node", "sketch")
+    sig = sig.select("doc_id", "mark", "n", "node")
     total = sig.agg(F.sum("n")).first()[0] or 0
-    least = max(LOCAL_HITS, total // MAX_FREQUENT)  # the sum of all hits is at most total, so MAX_FREQUENT tokens at most
-    found = first.filter("hits is not null").groupBy("token").agg(F.sum("hits").alias("c")).filter(F.col("c") >= least).toPandas()
-    tokens = found["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    spread = spark.sparkContext.broadcast((tokens[order], found["c"].to_numpy(np.int64)[order]))
+    spread = spark.sparkContext.broadcast(_frequent(docs, total))
     live = cut(_index(_postings(docs, max(16, total // 5 // BUCKET_POSTINGS), spread)))
     links = cut(_compare(_leader_pairs(live), docs, sig))
     labels = cut(components(links))
@@ -533,7 +576,6 @@ def _classes(docs: DataFrame) -> DataFrame:
     families = _family_links(live, labels, docs, sig)
     if families is not None:
         labels = cut(_merge(labels, cut(families)))
-    sketches = first.filter("node is not null").select("node", "sketch")
     close = cut(_close_pairs(cut(_outside_pairs(live, labels)), sketches))
     # First every set with its closest; most of the rest is connected then and need not be compared.
     labels = cut(_merge(labels, _compare(_closest(close), docs, sig)))

@@ -118,3 +118,27 @@ def test_shingles_ignore_spacing_and_neighbours():
     off = np.cumsum([0] + [len(t.encode()) for t in texts])
     s = shingle_sets(np.frombuffer(raw, np.uint8), off)
     assert s[0].tolist() == s[1].tolist() and [len(x) for x in s] == [2, 2, 0, 1, 1] and s[3] != s[4]
+
+
+def test_lists_of_rare_tokens_stay_short(docs_of, monkeypatch):
+    """A passage in many documents, of which each task has only a few: its tokens must not be taken for rare."""
+    rng = random.Random(7)
+    passage = [f"p{k}" for k in range(40)]
+    rows = [(i, " ".join([f"w{rng.randrange(10**9)}" for _ in range(100)] + passage)) for i in range(80)]
+    found, index = [], jaccard._index
+    monkeypatch.setattr(jaccard, "_index", lambda packed: found.append(index(packed)) or found[0])
+    assert got(docs_of(rows).repartition(20)) == brute(rows)
+    longest = found[0].filter("bucket >= 0").groupBy("token").count().agg({"count": "max"}).first()[0]
+    assert (longest or 0) < jaccard.LOCAL_HITS
+
+
+def test_more_frequent_tokens_than_the_list_holds(docs_of, monkeypatch):
+    monkeypatch.setattr(jaccard, "LOCAL_HITS", 2)
+    rows = corpus(3)
+    docs = jaccard.marked(docs_of(rows))
+    whole, counts, _ = jaccard._frequent(docs, 1000)
+    for room in (len(whole) // 2, 1):
+        monkeypatch.setattr(jaccard, "MAX_FREQUENT", room)
+        codes, hits, _ = jaccard._frequent(docs, 1000)
+        assert len(codes) <= room and set(codes) <= set(whole) and min(hits, default=counts.max()) >= np.sort(counts)[-room]
+    assert got(docs_of(rows)) == brute(rows)
