@@ -110,6 +110,8 @@ def _counted(docs: DataFrame, bits: int) -> DataFrame:
                 held, size = [], 0
         if held:
             yield pack()
+        held = []
+        give_back()
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
         code = np.concatenate([np.frombuffer(c, np.uint32) for c in t.column("codes").to_pylist()])
@@ -119,6 +121,8 @@ def _counted(docs: DataFrame, bits: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         total = np.add.reduceat(hits[order].astype(np.int64), first)
         keep = total >= least
+        del hits, order, t
+        give_back()
         return pa.table({"code": pa.array(code[first][keep].astype(np.int64) + (key[0].as_py() << 32)), "hits": pa.array(total[keep])})
 
     return docs.mapInArrow(run, "bucket int, codes binary, hits binary").groupBy("bucket").applyInArrow(add, "code long, hits long")
