@@ -63,6 +63,7 @@ def prefix_size(n):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]):
+    give_back()
     for big in batches:
         for batch in small_batches(big, "text", 1 << 20):
             data, off, _ = utf8_views(batch.column("text"))

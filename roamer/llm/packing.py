@@ -62,7 +62,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = SEQUENCE_TOKENS, end_id
                 cols = [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                         pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.record_batch(cols + ([pa.array(raw, pa.binary())] if with_ids else []), schema=schema)
-        give_back()
+        give_back("encoder")
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
     return id_text(docs).mapInArrow(run, ddl)
@@ -250,6 +250,7 @@ _PACKED = "row long, doc_id long, piece int, start long, length long, ids_crc32
 
 def _pack_groups(pieces: DataFrame, groups: int, level: int, size: int, reopened: int) -> DataFrame:
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         g = g.sort_values("row", kind="stable").reset_index(drop=True)
         g["bin"] = pack_lengths(g["length"].to_numpy(), size)
         g = g.sort_values(["bin", "row"], kind="stable")

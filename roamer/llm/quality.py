@@ -86,6 +86,7 @@ def document_signals(docs: DataFrame, *keep: str) -> DataFrame:
                                               *([] if "text" in keep else [F.col("text").cast("string").alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for big in batches:
             for batch in small_batches(big, text):
                 data, off, _ = utf8_views(batch.column(text))

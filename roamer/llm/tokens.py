@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
+from roamer.llm.common import KEPT
 from roamer.llm.shingles import _CODES, _LOWER, _SPACE, prefix_hash, span_hash
 
 TABLE_ENTRIES = 1_500_000
@@ -218,6 +219,9 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+KEPT["encoder"] = encoder.cache_clear
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

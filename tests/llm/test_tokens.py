@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from roamer.llm import tokens
+from roamer.llm import common, jaccard, tokens
 
 TEXTS = ["", "  ", "a", "Ab aB AB ab", "é É É x", "naïve, co-op; don't 12,345 #x\x0b\x0cy\x1cz", " nb sp q", "日本語 テスト", "<s> <|endoftext|> [PAD]", "x" * 300 + " y"]
 
@@ -34,3 +35,13 @@ def test_chunks_of_one_hash_are_told_apart(monkeypatch):
     enc = tokens.ChunkEncoder(tokens.tokenizer_path())
     for text in ("one two three", "one", "eno", "two"):
         assert enc.encode(text.encode()).tolist() == enc.lib.encode(text, add_special_tokens=False).ids
+
+
+def test_other_stages_drop_the_encoder():
+    """Workers live on, and each would keep its table of chunks while later stages run."""
+    path = tokens.tokenizer_path()
+    enc = tokens.encoder(path)
+    common.give_back("encoder")
+    assert tokens.encoder(path) is enc
+    list(jaccard._sets(iter([pa.record_batch([pa.array(["some words", None])], names=["text"])])))
+    assert tokens.encoder.cache_info().currsize == 0 and tokens.encoder(path) is not enc
